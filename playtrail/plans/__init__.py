@@ -3,7 +3,7 @@
 
 def registered():
     """All queries and their oracle SQL, by name."""
-    from playtrail.plans import evaluation_queries  # noqa: F401
+    from playtrail.plans import evaluation_queries, shaping_queries, source_queries  # noqa: F401
     from playtrail.plans.registry import ORACLES, QUERIES
 
     return QUERIES, ORACLES

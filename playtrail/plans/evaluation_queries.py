@@ -73,7 +73,8 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def parts(spark: SparkSession, sf_dir: str, ranking: str = "plays"):
-    return popularity.evaluation_parts(plays(spark, sf_dir), history(), holdout(), ranking)
+    log = plays(spark, sf_dir)
+    return popularity.evaluation_parts(log, popularity.play_summary(log), history(), holdout(), ranking)
 
 
 query("flagship_popularity_ap", sql("SELECT account_id, round(ap, 9) AS ap FROM ap", *SLATES, oracle_ap()))(flagship)

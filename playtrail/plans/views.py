@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Fixed values of the test views.
@@ -66,6 +66,11 @@ def plays(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def content_or_none() -> Column:
+    """The content id with -1 for none, as the compared results carry it."""
+    return F.coalesce("content_id", F.lit(-1)).alias("content_id")
+
+
 def event_plays(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A second play log with real clock times: events, their content taken from ``props``."""
     return table(spark, sf_dir, "events").selectExpr(

@@ -78,7 +78,7 @@ def profile(df: DataFrame) -> DataFrame:
     set per column, and one value filling a third of a column is combined map-side.
     """
     counts = value_counts(df, df.columns)
-    return counts.groupBy("column").agg(
+    return counts.groupBy("field").agg(
         F.sum("n").alias("rows"),
         F.coalesce(F.sum(F.when(F.col("value").isNotNull(), F.col("n"))), F.lit(0)).alias("filled"),
         F.count("value").alias("distinct_values"),
@@ -86,5 +86,5 @@ def profile(df: DataFrame) -> DataFrame:
 
 
 def value_counts(df: DataFrame, cols: list[str]) -> DataFrame:
-    cells = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in cols])
-    return df.select(F.inline(cells)).groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
+    cells = F.array(*[F.struct(F.lit(c).alias("field"), F.col(c).cast("string").alias("value")) for c in cols])
+    return df.select(F.inline(cells)).groupBy("field", "value").agg(F.count(F.lit(1)).alias("n"))

@@ -43,7 +43,7 @@ KINDS = {
 
 
 def cell(v):
-    if v is None or v is pd.NaT or (isinstance(v, float) and v != v):
+    if v is None or v is pd.NaT or v is pd.NA or (isinstance(v, float) and v != v):
         return None
     if hasattr(v, "item"):
         v = v.item()
