@@ -88,3 +88,8 @@ def hash_hex(*parts) -> Column:
 def hash_int(*parts) -> Column:
     """First 32 bits of :func:`hash_hex` as a non-negative BIGINT."""
     return F.conv(F.substring(hash_hex(*parts), 1, 8), 16, 10).cast("bigint")
+
+
+def hash_long(*parts) -> Column:
+    """First 60 bits of :func:`hash_hex` as a non-negative BIGINT, to order rows by."""
+    return F.conv(F.substring(hash_hex(*parts), 1, 15), 16, 10).cast("bigint")
