@@ -116,14 +116,9 @@ def id_range(plays: DataFrame, catalog: DataFrame) -> DataFrame:
 
 
 def dense_ids(bounds: DataFrame, name: str) -> DataFrame:
-    """All ids ``lo..hi`` of a one-row frame, made in blocks so that many tasks share the work."""
-    block = 1 << 16
-    starts = bounds.select("lo", "hi", F.explode(F.sequence(F.lit(0).cast("bigint"), F.expr(f"(hi - lo) div {block}"))).alias("_b"))
-    parts = int(bounds.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    first = F.col("lo") + F.col("_b") * block
-    return starts.repartition(parts, "_b").select(
-        F.explode(F.sequence(first, F.least(first + (block - 1), F.col("hi")))).alias(name)
-    )
+    """All ids from ``lo`` to ``hi`` of a one-row frame."""
+    row = bounds.select("lo", "hi").first()
+    return bounds.sparkSession.range(row["lo"], row["hi"] + 1).withColumnRenamed("id", name)
 
 
 def zero_filled_axis(counts: DataFrame, bounds: DataFrame, axis: str) -> DataFrame:
@@ -215,14 +210,25 @@ def frequency_cut(df: DataFrame, col: str, top: int | None = None, min_count: in
 
 
 def score_summary(scored: DataFrame, bins: int = 10) -> tuple[DataFrame, DataFrame]:
-    """Median score per label, and a histogram over ``[0, 1]`` in equal bins."""
+    """Median score per label, and a histogram over ``[0, 1]`` in equal bins.
+
+    Equal scores are counted first; the median is read off their running count, so neither a
+    label with most of the rows nor many different scores end up in one task.
+    """
     tied = scored.groupBy("label", "score").agg(F.count(F.lit(1)).alias("n"))
-    medians = tied.groupBy("label").agg(
-        F.percentile("score", F.lit(0.5), F.col("n")).alias("median"), F.sum("n").alias("n")
+    placed = positions(tied, [F.asc("score")], keys=["label"], sums={"upto": "n"})
+    sizes = tied.groupBy("label").agg(F.sum("n").alias("n"))
+    at = placed.select("label", "score", "upto").join(sizes, "label")
+
+    def reaching(place: Column) -> Column:
+        return F.min(F.when(F.col("upto") >= place, F.col("score")))
+
+    medians = at.groupBy("label", "n").agg(
+        ((reaching(F.floor((F.col("n") + 1) / 2)) + reaching(F.floor((F.col("n") + 2) / 2))) / 2).alias("median")
     )
     bin_no = F.least(F.floor(F.col("score") * bins) + 1, F.lit(bins)).cast("bigint")
     histogram = tied.groupBy("label", bin_no.alias("bin")).agg(F.sum("n").alias("n"))
-    return medians, histogram
+    return medians.select("label", "median", "n"), histogram
 
 
 def clean_catalog(catalog: DataFrame) -> DataFrame:

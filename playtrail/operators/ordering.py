@@ -9,9 +9,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from playtrail.scratch import pin
+from playtrail.scratch import pin, through_table
 
-_PART, _N = "_part", "_n"
+# Lists up to this length, once counted, are numbered by a plain window.
+ONE_TASK_ROWS = 100_000
+
+_PART, _N, _ROW = "_part", "_n", "_row"
 
 
 def positions(
@@ -28,11 +31,13 @@ def positions(
     """
     sums, keys = sums or {}, list(keys)
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    by = [*[F.col(c) for c in keys], *order]
     # The bucket of a row depends on sampled bounds, so it is fixed before being used twice.
     ranged = pin(
-        df.repartitionByRange(parts, *[F.col(c) for c in keys], *order).withColumn(
-            _PART, F.spark_partition_id()
-        )
+        df.repartitionByRange(parts, *by)
+        .sortWithinPartitions(*by)
+        .withColumn(_ROW, F.monotonically_increasing_id())
+        .withColumn(_PART, F.spark_partition_id())
     )
     totals = ranged.groupBy(_PART, *keys).agg(
         F.count(F.lit(1)).alias(_N), *[F.sum(c).alias(f"_t_{o}") for o, c in sums.items()]
@@ -46,16 +51,19 @@ def positions(
     ).where(F.col("_skip").isNotNull())
     # One row per partition boundary at most: a boundary cuts through a single group.
     joined = ranged.join(F.broadcast(offsets), [_PART, *keys], "left")
-    within = Window.partitionBy(_PART, *keys).orderBy(*order)
+    within = Window.partitionBy(_PART, *keys).orderBy(_ROW)
+    if keys:
+        local = F.row_number().over(within)
+    else:
+        # The generated ids count up within a partition: their low 33 bits are the place in it.
+        local = F.col(_ROW).bitwiseAND(F.lit(2**33 - 1)) + 1
     so_far = within.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    numbered = joined.withColumn(
-        name, (F.row_number().over(within) + F.coalesce("_skip", F.lit(0))).cast("bigint")
-    )
+    numbered = joined.withColumn(name, (local + F.coalesce("_skip", F.lit(0))).cast("bigint"))
     for out, col in sums.items():
         numbered = numbered.withColumn(
             out, F.sum(col).over(so_far) + F.coalesce(F.col(f"_s_{out}"), F.lit(0))
         )
-    return numbered.drop(_PART, "_skip", *[f"_s_{o}" for o in sums])
+    return numbered.drop(_PART, _ROW, "_skip", *[f"_s_{o}" for o in sums])
 
 
 def top_k(df: DataFrame, keys: list[str], order: list[Column], k: int, name: str = "pos") -> DataFrame:
@@ -79,8 +87,18 @@ def top_items(ranking: DataFrame, n: int = 200, by: str = "score", item: str = "
 
 
 def ranked(scores: DataFrame, by: str = "score", item: str = "content_id") -> DataFrame:
-    """Items with their place in the list ordered by falling score, ties by id."""
-    return positions(scores, [F.desc(by), F.asc(item)], name="rank")
+    """Items with their place in the list ordered by falling score, ties by id.
+
+    The scores are written first and the result is read from a table, so that it carries its
+    real size into later joins.  A list counted to be short is numbered in one task.
+    """
+    table = through_table(scores, "scores")
+    order = [F.desc(by), F.asc(item)]
+    if table.count() <= ONE_TASK_ROWS:
+        numbered = table.withColumn("rank", F.row_number().over(Window.orderBy(*order)).cast("bigint"))
+    else:
+        numbered = positions(table, order, name="rank")
+    return through_table(numbered, "ranking")
 
 
 def dense_index(items: DataFrame, item: str = "content_id") -> DataFrame:

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import math
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from playtrail.functions.columns import hash_hex, in_period
+from playtrail.functions.columns import hash_hex, hash_long, in_period
 from playtrail.operators.ordering import first_per_group
 
 
@@ -106,43 +108,42 @@ def split_time(plays: DataFrame, col: str, holdout: int, year: int | None = None
     )
 
 
-def split_cut(plays: DataFrame, prop: float = 0.2, seed: int = 117, user_col: str = "account_id") -> DataFrame:
-    """One row: hash and id of the last test account, ``ceil(prop * n)`` accounts deep.
+def split_key(seed: int = 117, user_col: str = "account_id") -> Column:
+    """The number by which accounts are put in random order for the split."""
+    return hash_long(seed, F.col(user_col))
 
-    The first four hash digits cut the accounts into at most 65,536 even buckets; their counts
-    tell which bucket holds the cut, and only that bucket is ordered.
-    """
-    accounts = distinct_ids(plays, user_col).withColumn("_h", hash_hex(seed, F.col(user_col)))
-    accounts = accounts.withColumn("_b", F.substring("_h", 1, 4))
-    upto = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    target = F.ceil(F.lit(float(prop)) * F.sum("_c").over(Window.partitionBy()))
-    bucket = (
-        accounts.groupBy("_b")
-        .agg(F.count(F.lit(1)).alias("_c"))
-        .select("_b", "_c", F.sum("_c").over(upto).alias("_upto"), target.alias("_target"))
-        .where((F.col("_upto") >= F.col("_target")) & (F.col("_upto") - F.col("_c") < F.col("_target")))
-        .select("_b", (F.col("_target") - F.col("_upto") + F.col("_c")).alias("_place"))
-    )
-    inside = Window.partitionBy("_b").orderBy("_h", user_col)
-    return (
-        accounts.join(F.broadcast(bucket), "_b")
-        .withColumn("_rn", F.row_number().over(inside))
-        .where(F.col("_rn") == F.col("_place"))
-        .select(F.col("_h").alias("cut_hash"), F.col(user_col).alias("cut_id"))
-    )
 
+def split_cut(plays: DataFrame, prop: float = 0.2, seed: int = 117, user_col: str = "account_id", key: Column | None = None) -> tuple[int, int] | None:
+    """Key and id of the last test account, ``ceil(prop * n)`` accounts deep in key order.
 
-def is_test(plays: DataFrame, prop: float = 0.2, seed: int = 117, user_col: str = "account_id") -> Column:
-    """Predicate for plays of test accounts: hash order up to the cut.
+    The first 16 of the key's 60 bits cut the accounts into at most 65,536 even buckets.  Their
+    counts tell which bucket holds the cut, and only the accounts of that bucket are ordered.
+    """
+    key = split_key(seed, user_col) if key is None else key
+    accounts = plays.where(F.col(user_col).isNotNull()).select(user_col, key.alias("h"), F.shiftright(key, 44).alias("b"))
+    buckets = accounts.distinct().groupBy("b").agg(F.count(F.lit(1)).alias("n")).collect()
+    place = math.ceil(prop * sum(r["n"] for r in buckets))
+    for r in sorted(buckets):
+        if 0 < place <= r["n"]:
+            inside = accounts.where(F.col("b") == r["b"]).distinct()
+            cut = inside.orderBy("h", user_col).offset(place - 1).limit(1).first()
+            return cut["h"], cut[user_col]
+        place -= r["n"]
+    return None
+
+
+def is_test(plays: DataFrame, prop: float = 0.2, seed: int = 117, user_col: str = "account_id", key: Column | None = None) -> Column:
+    """Predicate for plays of test accounts: key order up to the cut.
 
     The cut is two values, fetched once, so the split costs its readers no join and no further
-    pass over the accounts.
+    pass over the accounts.  A stored :func:`split_key` column given as ``key`` is compared as
+    it is, which Parquet can do on its own.
     """
-    cut = split_cut(plays, prop, seed, user_col).first()
+    key = split_key(seed, user_col) if key is None else key
+    cut = split_cut(plays, prop, seed, user_col, key)
     if cut is None:
         return F.lit(False)
-    key = F.struct(hash_hex(seed, F.col(user_col)), F.col(user_col).cast("bigint"))
-    return F.col(user_col).isNotNull() & (key <= F.struct(F.lit(cut["cut_hash"]), F.lit(cut["cut_id"]).cast("bigint")))
+    return F.col(user_col).isNotNull() & ((key < cut[0]) | ((key == cut[0]) & (F.col(user_col) <= F.lit(cut[1]))))
 
 
 def split_users(plays: DataFrame, prop: float = 0.2, seed: int = 117, user_col: str = "account_id") -> DataFrame:
@@ -152,9 +153,8 @@ def split_users(plays: DataFrame, prop: float = 0.2, seed: int = 117, user_col:
 
 
 def likely_test(prop: float = 0.2, seed: int = 117, user_col: str = "account_id") -> Column:
-    """A split into about ``prop`` by hash threshold, where the exact share does not matter."""
-    prefix = F.conv(F.substring(hash_hex(seed, F.col(user_col)), 1, 8), 16, 10).cast("double")
-    return prefix < F.lit(prop * 2**32)
+    """A split into about ``prop`` by key alone, where the exact share does not matter."""
+    return split_key(seed, user_col) < F.lit(int(prop * 2**60))
 
 
 def sample_users_n(users: DataFrame, n: int, seed: int = 117, user_col: str = "account_id") -> DataFrame:
