@@ -1,0 +1,146 @@
+"""Slates, average precision, splits and examples against brute force on small logs."""
+
+import hashlib
+import math
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from playtrail.operators import evaluate, factors, recommend, sampling, shaping
+from playtrail.operators.ordering import dense_index
+
+
+def slates(spark, data):
+    rows = [(0, i + 1, c) for i, c in enumerate(data)]
+    return spark.createDataFrame(rows, "account_id bigint, pos bigint, content_id bigint")
+
+
+@pytest.mark.parametrize(
+    "true, pred, want",
+    [
+        ([1, 2, 3], [1, 9, 2], (1 + 2 / 3) / 2),
+        ([], [1], 0),
+        ([5], [], 0),
+        ([1], [2, 2, 1], 1 / 3),
+        ([1], [4, 1], 0.5),
+        ([1, 2], [1, 1, 2], (1 + 2 / 3) / 2),
+        (list(range(1, 21)) + [99], [99], 0),
+        ([1], list(range(100, 120)) + [1], 0),
+    ],
+)
+def test_average_precision(spark, true, pred, want):
+    users = spark.createDataFrame([(0,)], "account_id bigint")
+    got = evaluate.average_precision(slates(spark, pred), slates(spark, true), 20, users).collect()
+    assert [r["ap"] for r in got] == [pytest.approx(want)]
+
+
+def test_map_counts_users_without_hits(spark):
+    users = spark.createDataFrame([(0,), (1,)], "account_id bigint")
+    row = evaluate.map_at_k(users, slates(spark, [1]), slates(spark, [1])).first()
+    assert (row["users"], row["map"]) == (2, 0.5)
+
+
+def test_recommend_popular_equals_brute_force(spark, monkeypatch):
+    rng = random.Random(7)
+    order = rng.sample(range(1000, 1060), 60)
+    ranking = spark.createDataFrame([(c, i + 1) for i, c in enumerate(order)], "content_id bigint, rank bigint")
+    seen = {0: set(order), 1: set(order[:40]), 2: set(order[::2]), 3: set(), 4: set(order[-5:]), 5: {1}}
+    seen |= {u: set(rng.sample(order, rng.randrange(60))) | {1, 2} for u in range(6, 30)}
+    users = spark.createDataFrame([(u,) for u in seen], "account_id bigint")
+    pairs = spark.createDataFrame([(u, c) for u in seen for c in seen[u]], "account_id bigint, content_id bigint")
+    want = {(u, i + 1, c) for u in seen for i, c in enumerate([c for c in order if c not in seen[u]][:7])}
+    for head in (recommend.HEAD_RANKS, 10):
+        monkeypatch.setattr(recommend, "HEAD_RANKS", head)
+        got = {tuple(r) for r in recommend.recommend_popular(ranking, users, pairs, 7).collect()}
+        assert got == want
+
+
+def test_split_is_exact_and_reproducible(spark):
+    ids = random.Random(2).sample(range(10**6), 997)
+    plays = spark.createDataFrame([(i,) for i in ids + ids[:300]] + [(None,)], "account_id bigint")
+    got = {r["account_id"] for r in shaping.split_users(plays).where("is_test").collect()}
+    order = sorted(ids, key=lambda i: (hashlib.md5(f"117:{i}".encode()).hexdigest(), i))
+    assert got == set(order[: math.ceil(0.2 * len(ids))])
+    again = {r["account_id"] for r in plays.repartition(9).where(shaping.is_test(plays)).collect()}
+    assert again == got
+    assert not shaping.split_users(plays, seed=5).where("is_test").select("account_id").exceptAll(
+        shaping.split_users(plays).where("is_test").select("account_id")
+    ).isEmpty()
+
+
+def test_split_of_nothing(spark):
+    assert shaping.split_users(spark.createDataFrame([], "account_id bigint")).count() == 0
+
+
+def test_first_play_only_takes_the_earliest(spark):
+    log = spark.sql("""SELECT * FROM VALUES (1L, 1L, 7L, 10L, TIMESTAMP_NTZ '2021-03-05', TIMESTAMP_NTZ '2021-03-05', 0),
+     (1L, 1L, 7L, 10L, TIMESTAMP_NTZ '2021-01-05', TIMESTAMP_NTZ '2021-01-05', 1),
+     (1L, 1L, 9L, NULL, TIMESTAMP_NTZ '2021-01-06', TIMESTAMP_NTZ '2021-01-06', 0),
+     (1L, 1L, 8L, NULL, TIMESTAMP_NTZ '2021-01-07', TIMESTAMP_NTZ '2021-01-07', 0)
+     t(account_id, customer_id, asset_id, content_id, tunein, tuneout, resume)""")
+    got = {(r["content_id"], r["tunein"].month, r["asset_id"]) for r in shaping.first_play_only(log).collect()}
+    assert got == {(10, 1, 7), (None, 1, 9)}
+
+
+def test_pair_examples(spark):
+    rng = random.Random(4)
+    watched = {0: set(range(300)), 1: {5}, **{u: set(rng.sample(range(300), rng.randrange(2, 9))) for u in range(2, 40)}}
+    seen = spark.createDataFrame([(u, c) for u in watched for c in watched[u]], "customer_id bigint, content_id bigint")
+    index = dense_index(seen.select("content_id").distinct())
+    rows = sampling.pair_examples(seen, index, n_neg=4, draws=3).collect()
+    positive = [r for r in rows if r["label"] == 1]
+    assert len(positive) == 3 * 39 and len(rows) == 4 * len(positive)
+    for r in positive:
+        assert r["a"] != r["b"] and {r["a"], r["b"]} <= watched[r["customer_id"]]
+    assert len({(r["a"], r["b"]) for r in positive if r["customer_id"] == 0}) == 3
+    anchors = {(r["customer_id"], r["draw"]): r["a"] for r in positive}
+    assert all(r["a"] == anchors[r["customer_id"], r["draw"]] for r in rows)
+    again = sampling.pair_examples(seen.repartition(9), index, n_neg=4, draws=3).collect()
+    assert sorted(map(tuple, rows)) == sorted(map(tuple, again))
+
+
+def test_backfill_keeps_first_places(spark):
+    got = recommend.backfill(slates(spark, [5, 6]), slates(spark, [6, 7, 8]), 2, 3).orderBy("pos").collect()
+    assert [(r["pos"], r["content_id"]) for r in got] == [(1, 5), (2, 6), (3, 7)]
+    none = recommend.backfill(slates(spark, [5, 6]), slates(spark, [6, 7, 8]), 0, 3)
+    assert none.count() == 2
+
+
+def test_unseen_pairs_refuses_long_lists(spark):
+    users = spark.createDataFrame([(0,)], "account_id bigint")
+    with pytest.raises(ValueError):
+        recommend.unseen_pairs(users, list(range(1001)), slates(spark, [1]))
+
+
+def test_model_slates_for_heavy_and_light_users(spark):
+    rng = random.Random(8)
+    watched = {0: range(55), 1: [3], 2: [], **{u: rng.sample(range(60), 10) for u in range(3, 12)}}
+    counts = spark.createDataFrame([(u, c, 1 + (u + c) % 3) for u in watched for c in watched[u]], "account_id bigint, content_id bigint, n bigint")
+    users = spark.createDataFrame([(u,) for u in watched if u != 2], "account_id bigint")
+    model = factors.fit_implicit(counts, 5)
+    got = factors.recommend_model(model, users, counts.select("account_id", "content_id"), 8).collect()
+    grid = users.crossJoin(spark.createDataFrame([(c,) for c in range(60)], "content_id bigint"))
+    scores = {(r["account_id"], r["content_id"]): r["score"] for r in factors.score_pairs(model, grid).collect()}
+    items = {c for _, c in scores}
+    assert {r["account_id"] for r in got} == set(watched) - {0, 2} | ({0} if items - set(watched[0]) else set())
+    for u in set(watched) - {2}:
+        slate = [c for _, c in sorted((r["pos"], r["content_id"]) for r in got if r["account_id"] == u)]
+        best = sorted((scores[u, c] for c in items - set(watched[u])), reverse=True)[:8]
+        assert not set(slate) & set(watched[u]) and len(set(slate)) == len(best)
+        # Scores of the bulk and the pairwise computation differ in the last bits.
+        assert [scores[u, c] for c in slate] == pytest.approx(best, abs=1e-5)
+
+
+def test_in_period_keeps_or_drops_missing_times(spark):
+    from playtrail.functions.columns import in_period
+
+    df = spark.sql("SELECT * FROM VALUES (TIMESTAMP_NTZ '2021-03-01'), (TIMESTAMP_NTZ '2021-02-28 23:59:59'), (TIMESTAMP_NTZ '2020-12-31'), (NULL) t(ts)")
+    ts = F.col("ts")
+
+    def n(cond):
+        return df.where(cond).count()
+
+    assert n(in_period(ts, 3, "not_in")) == 3 and n(in_period(ts, 3)) == 1 and n(in_period(ts, 3, "before")) == 1
+    assert n(in_period(ts, 12, year=2020)) == 1 and n(in_period(ts, 12, "not_in", year=2020)) == 3
+    assert n(in_period(ts, 3, "before", year=2021)) == 1
