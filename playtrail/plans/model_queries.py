@@ -9,10 +9,12 @@ from pyspark.sql import functions as F
 from playtrail.operators import counting, evaluate, factors, recommend, sampling, shaping, similarity, slates
 from playtrail.operators.ordering import dense_index
 from playtrail.plans import popularity
+from playtrail.plans.counting_queries import COUNTED
 from playtrail.plans.evaluation_queries import history, holdout
 from playtrail.plans.feature_queries import model_features
 from playtrail.plans.registry import query
-from playtrail.plans.views import CUTOFF, catalog, plays
+from playtrail.plans.similarity_queries import embeddings
+from playtrail.plans.views import CUTOFF, catalog, plays, sql
 from playtrail.scratch import pin, scratch_path, through_table
 from playtrail.sources import files
 
@@ -30,14 +32,25 @@ def history_counts(spark, sf_dir, user_col: str = "account_id") -> DataFrame:
     return counting.interaction_counts(plays(spark, sf_dir).where(history()), user_col)
 
 
-@query("r06_nonnegative_mf")
+# Contents reached before 99% of the history's plays, and the distinct ratings of them.
+RATED = """counts AS (SELECT content_id, count(*) AS n FROM plays WHERE period IN (1, 2) AND content_id IS NOT NULL GROUP BY 1),
+rated AS (SELECT DISTINCT account_id, content_id FROM plays WHERE period IN (1, 2) AND content_id IN (
+ SELECT content_id FROM (SELECT content_id, sum(n) OVER (ORDER BY n DESC, content_id ROWS UNBOUNDED PRECEDING)
+  / sum(n) OVER () AS share FROM counts) WHERE share < 0.99))"""
+
+
+@query(
+    "r06_nonnegative_mf",
+    sql(f"""SELECT 'users' AS side, count(DISTINCT account_id) AS rows, {RANK} AS rank, true AS nonnegative FROM rated
+    UNION ALL SELECT 'items', count(DISTINCT content_id), {RANK}, true FROM rated""", RATED),
+)
 def r06(spark, sf_dir):
     model = factors.fit_nmf(ratings(spark, sf_dir), RANK)
 
     def side(name, frame):
         return frame.agg(
-            F.lit(name).alias("side"), F.count(F.lit(1)).alias("rows"),
-            F.min(F.array_min("features")).cast("double").alias("smallest"), F.max(F.size("features")).alias("rank"),
+            F.lit(name).alias("side"), F.count(F.lit(1)).alias("rows"), F.max(F.size("features")).alias("rank"),
+            (F.min(F.array_min("features")) >= 0).alias("nonnegative"),
         )
 
     return side("users", model.userFactors).unionByName(side("items", model.itemFactors))
@@ -62,16 +75,26 @@ def r08(spark, sf_dir):
     )
 
 
-@query("r09_implicit_mf")
+@query(
+    "r09_implicit_mf",
+    sql("""SELECT count(*) AS pairs, count(DISTINCT account_id) AS users, count(DISTINCT content_id) AS items,
+    true AS better_than_chance FROM (SELECT DISTINCT account_id, content_id FROM plays
+     WHERE period IN (1, 2) AND content_id IS NOT NULL)"""),
+)
 def r09(spark, sf_dir):
-    counts = history_counts(spark, sf_dir)
+    """Size of the model, and whether it puts watched titles before random ones."""
+    counts = through_table(history_counts(spark, sf_dir), "counts")
     model = factors.fit_implicit(counts, RANK)
-    scored = factors.score_pairs(model, counts)
-    return scored.agg(
-        F.count(F.lit(1)).alias("pairs"), F.avg("score").alias("mean_score"),
+    index = dense_index(model.itemFactors.select(F.col("id").cast("bigint").alias("content_id")))
+    watched = counts.select("account_id", "content_id")
+    other = sampling.random_items(watched.withColumnRenamed("content_id", "anchor"), index, 117, F.col("account_id"), F.col("anchor"))
+    labelled = watched.withColumn("label", F.lit(1)).unionByName(other.select("account_id", "content_id").withColumn("label", F.lit(0)))
+    auc = evaluate.roc_auc(factors.score_pairs(model, labelled)).scalar()
+    return counts.agg(
+        F.count(F.lit(1)).alias("pairs"),
         model.userFactors.agg(F.count(F.lit(1))).scalar().alias("users"),
         model.itemFactors.agg(F.count(F.lit(1))).scalar().alias("items"),
-    )
+    ).withColumn("better_than_chance", auc > 0.5)
 
 
 def slate_report(recs: DataFrame, seen: DataFrame, user_col: str, k: int = 20) -> DataFrame:
@@ -103,7 +126,10 @@ def r10(spark, sf_dir):
     return slate_report(recs, seen, "account_id").withColumns({"model_map": scores.scalar(), "popularity_map": base.scalar()})
 
 
-@query("r11_refit_on_all_data")
+@query(
+    "r11_refit_on_all_data",
+    sql("SELECT max(account_id) + 1 AS accounts, max(account_id) AS largest, CAST(0 AS BIGINT) AS empty FROM plays"),
+)
 def r11(spark, sf_dir):
     """Slates of every account id from 0 to the largest, as written lines."""
     log = plays(spark, sf_dir)
@@ -134,10 +160,15 @@ def r12(spark, sf_dir):
     return pairs.join(a, "a").join(b, "b").groupBy("label").agg(F.count(F.lit(1)).alias("pairs"), F.avg(dot).alias("mean_cosine"))
 
 
-@query("f11_model_item_features")
+@query(
+    "f11_model_item_features",
+    sql(f"""SELECT content_id, {DIM + 3} AS dims, round(coalesce(n, 0) / (SELECT count(*) FROM counted), 9) AS play_share
+    FROM (SELECT DISTINCT content_id FROM plays WHERE period IN (1, 2) AND content_id IS NOT NULL)
+    LEFT JOIN (SELECT content_id, count(*) AS n FROM counted GROUP BY 1) USING (content_id)""", COUNTED),
+)
 def f11(spark, sf_dir):
     rows = model_features(spark, sf_dir, embedding(spark, sf_dir))
-    return rows.select("content_id", F.size("vector").alias("dims"), F.element_at("vector", -3).alias("play_share"))
+    return rows.select("content_id", F.size("vector").alias("dims"), F.round(F.element_at("vector", -3), 9).alias("play_share"))
 
 
 def pair_training(spark, sf_dir):
@@ -161,7 +192,11 @@ def e09(spark, sf_dir):
     return slates.learning_curve(slates.fit_pair_scorer(pairs, vectors, iters=20))
 
 
-@query("s06_model_store")
+@query(
+    "s06_model_store",
+    sql("""SELECT count(*) AS pairs, CAST(0 AS DOUBLE) AS largest_difference FROM (
+    SELECT DISTINCT account_id, content_id FROM plays WHERE period IN (1, 2) AND content_id IS NOT NULL)"""),
+)
 def s06(spark, sf_dir):
     """Largest difference between scores before saving and after loading."""
     counts = history_counts(spark, sf_dir)
@@ -227,9 +262,24 @@ def r13b(spark, sf_dir):
     return evaluate_slates(recs, seen, users, after)
 
 
-@query("x11_vector_pooling")
+@query(
+    "x11_vector_pooling",
+    sql("""SELECT customer_id, round(sum(average), 6) AS mean_total, round(sum(largest), 6) AS max_total FROM (
+      SELECT customer_id, dim, avg(x) AS average, max(x) AS largest FROM (
+       SELECT customer_id, unnest(range(64)) AS dim, CAST(unnest(embedding) AS DOUBLE) AS x
+       FROM past JOIN embeddings ON vec_id = content_id) GROUP BY customer_id, dim) GROUP BY customer_id""",
+        """past AS (SELECT customer_id, content_id FROM plays WHERE period IN (1, 2) AND resume = 0 AND content_id IS NOT NULL
+         GROUP BY customer_id, content_id
+         QUALIFY row_number() OVER (PARTITION BY customer_id ORDER BY min(tunein), content_id) <= 20)"""),
+)
 def x11(spark, sf_dir):
     """Mean and maximum pooling over the first 20 contents of every customer's history."""
     before = shaping.exclude_resumes(plays(spark, sf_dir)).where(history())
-    rows = slates.pooled(sampling.past_sequences(before), embedding(spark, sf_dir), ["customer_id"])
-    return rows.select("customer_id", F.size("pooled").alias("dims"), F.array_max("pooled").alias("largest"))
+    rows = slates.pooled(sampling.past_sequences(before), embeddings(spark, sf_dir), ["customer_id"])
+
+    def total(part):
+        return F.round(F.aggregate(part, F.lit(0.0), lambda acc, x: acc + x), 6)
+
+    return rows.select(
+        "customer_id", total(F.slice("pooled", 1, 64)).alias("mean_total"), total(F.slice("pooled", 65, 64)).alias("max_total")
+    )

@@ -47,12 +47,8 @@ def test_model_slates(spark):
 
 
 def test_models_hold_their_invariants(spark):
-    assert all(r["smallest"] >= 0 for r in queries()["r06_nonnegative_mf"](spark, SF).collect())
-    assert queries()["s06_model_store"](spark, SF).first()["largest_difference"] == 0
     cosine = {r["label"]: r["mean_cosine"] for r in queries()["r12_item_embedding"](spark, SF).collect()}
     assert cosine[1] > cosine[0]
     assert 0.5 < queries()["r16_pair_scorer"](spark, SF).first()["auc"] <= 1
     losses = [r["loss"] for r in queries()["e09_learning_curve"](spark, SF).orderBy("iteration").collect()]
     assert losses[-1] < losses[0]
-    full = queries()["r11_refit_on_all_data"](spark, SF).first()
-    assert full["accounts"] == full["largest"] + 1 and full["empty"] == 0
