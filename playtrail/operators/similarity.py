@@ -66,7 +66,7 @@ def vector_blocks(vectors: DataFrame) -> DataFrame:
     pivots = drawn.toPandas()
     if pivots.empty:
         raise ValueError("no vectors")
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = min(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n // size))
     ordered = (
         _in_cells(vectors, _matrix(pivots["vector"]))
         .repartitionByRange(parts, "cell", "content_id")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import sys
 import time
 from pathlib import Path
@@ -74,7 +75,7 @@ def main() -> int:
 
     sf_dir = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.001"
     wanted = sys.argv[2:]
-    spark = session()
+    spark = session(partitions=int(os.environ.get("PARTITIONS", "8")))
     spark.sparkContext.setLogLevel("ERROR")
     con, oracles, failed = duck(sf_dir), oracle_sql(), []
     for name, fn in queries().items():
