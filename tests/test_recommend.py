@@ -69,6 +69,13 @@ def test_split_is_exact_and_reproducible(spark):
     ).isEmpty()
 
 
+def test_likely_split_is_near_the_share(spark):
+    accounts = spark.range(5000).withColumnRenamed("id", "account_id")
+    n = accounts.where(shaping.likely_test(0.2)).count()
+    assert 900 < n < 1100
+    assert accounts.where(shaping.likely_test(0.2) & ~shaping.likely_test(0.4)).isEmpty()
+
+
 def test_split_of_nothing(spark):
     assert shaping.split_users(spark.createDataFrame([], "account_id bigint")).count() == 0
 
