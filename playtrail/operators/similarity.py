@@ -52,15 +52,17 @@ def _in_cells(vectors: DataFrame, pivots: np.ndarray) -> DataFrame:
     )
 
 
-def vector_blocks(vectors: DataFrame) -> DataFrame:
+def vector_blocks(vectors: DataFrame, largest: int | None = None) -> DataFrame:
     """Vectors in blocks of near ones: ids, packed values, centre and radius of every block.
 
+    Without ``largest`` blocks grow with the data, so that their number stays bounded.
+
     Rows are ordered by cell over as many tasks as there is data; a cell holding many copies of
     one vector simply fills several blocks.  The blocks are written, so they stay as they are.
     """
     spark = vectors.sparkSession
     n = vectors.count()
-    size = max(BLOCK_ROWS, -(-n // MAX_BLOCKS))
+    size = largest or max(BLOCK_ROWS, -(-n // MAX_BLOCKS))
     wanted = min(MAX_PIVOTS, -(-n // size))
     drawn = vectors.select("content_id", "vector").orderBy(hash_hex("pivot", F.col("content_id"))).limit(wanted)
     pivots = drawn.toPandas()
@@ -141,13 +143,17 @@ def _nearest(q: np.ndarray, s: np.ndarray, s_ids: np.ndarray, k: int) -> tuple[n
     rows, cols = np.nonzero(fast <= np.partition(fast, k - 1, axis=1)[:, k - 1 : k] + slack)
     exact = np.round(np.sqrt(((q[rows] - s[cols]) ** 2).sum(1)), DECIMALS)
     order = np.lexsort((s_ids[cols], exact, rows))
-    rows, cols, exact = rows[order], cols[order], exact[order]
-    first = np.r_[True, rows[1:] != rows[:-1]]
-    place = np.arange(len(rows)) - np.maximum.accumulate(np.where(first, np.arange(len(rows)), 0))
-    best = place < k
+    best = _first_k(rows, order, k)
     return rows[best], s_ids[cols[best]], exact[best]
 
 
+def _first_k(groups: np.ndarray, order: np.ndarray, k: int) -> np.ndarray:
+    """The first ``k`` positions of every group in an order that keeps groups together."""
+    sorted_groups, n = groups[order], np.arange(len(order))
+    starts = np.r_[True, sorted_groups[1:] != sorted_groups[:-1]][: len(order)]
+    return order[n - np.maximum.accumulate(np.where(starts, n, 0)) < k]
+
+
 def knn(vectors: DataFrame, k: int = 50, probes: int | None = None) -> DataFrame:
     """The ``k`` nearest vectors of every vector by Euclidean distance, itself included.
 
@@ -178,6 +184,47 @@ def knn(vectors: DataFrame, k: int = 50, probes: int | None = None) -> DataFrame
     return top_k(found, ["content_id"], [F.asc("distance"), F.asc("neighbor_id")], k, name="rn")
 
 
+def best_products(users: DataFrame, items: DataFrame, seen: DataFrame, k: int, user_col: str = "account_id") -> DataFrame:
+    """The ``k`` unseen items of every user with the largest dot product of their vectors.
+
+    Every block of users meets every block of items once, in one matrix product.  What the users
+    of a block have seen of an item block arrives as a list of cells, at most one per cell of
+    that product, and is struck out before the ``k`` best leave it; a user who has seen nearly
+    everything costs no more than any other.
+    """
+    left = vector_blocks(users.select(F.col(user_col).alias("content_id"), "vector"), BLOCK_ROWS)
+    right = vector_blocks(items, BLOCK_ROWS)
+    at_left = left.select(F.col("block").alias("q"), F.posexplode("ids").alias("_i", user_col))
+    at_right = right.select(F.col("block").alias("s"), F.posexplode("ids").alias("_j", "content_id"))
+    cell = F.col("_i").cast("bigint") * BLOCK_ROWS + F.col("_j")
+    struck = (
+        seen.join(at_left, user_col).join(at_right, "content_id").groupBy("q", "s").agg(F.collect_list(cell).alias("cells"))
+    )
+    names = F.array(*[F.lit(r["block"]) for r in right.select("block").collect()]).cast("array<bigint>")
+    q_side = left.select(F.col("block").alias("q"), F.col("ids").alias("q_ids"), F.col("payload").alias("q_data"))
+    s_side = right.select(F.col("block").alias("s"), F.col("ids").alias("s_ids"), F.col("payload").alias("s_data"))
+    meetings = q_side.select("q", F.explode(names).alias("s")).join(struck, ["q", "s"], "left")
+    rows = meetings.join(q_side, "q").join(s_side, "s").select("q_ids", "q_data", "s_ids", "s_data", "cells")
+    width = BLOCK_ROWS
+
+    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for q_ids, q_data, s_ids, s_data, cells in batch.itertuples(index=False):
+                q_ids, s_ids = np.asarray(q_ids), np.asarray(s_ids)
+                scores = np.round(_unpack(q_data, len(q_ids)) @ _unpack(s_data, len(s_ids)).T, 9)
+                if cells is not None:
+                    cells = np.asarray(cells)
+                    scores[cells // width, cells % width] = -np.inf
+                top = min(k, len(s_ids))
+                floor = np.partition(scores, len(s_ids) - top, axis=1)[:, len(s_ids) - top, None]
+                at, to = np.nonzero((scores >= floor) & (scores > -np.inf))
+                best = _first_k(at, np.lexsort((s_ids[to], -scores[at, to], at)), k)
+                yield pd.DataFrame({user_col: q_ids[at[best]], "content_id": s_ids[to[best]], "score": scores[at[best], to[best]]})
+
+    found = rows.mapInPandas(score, f"{user_col} bigint, content_id bigint, score double")
+    return top_k(found, [user_col], [F.desc("score"), F.asc("content_id")], k)
+
+
 def sequence_features(sequences: DataFrame, features: DataFrame, scalars: list[str]) -> DataFrame:
     """Item features on every element of the sequences; a missing scalar counts 0."""
     joined = sequences.join(features, "content_id", "left")

@@ -7,7 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from playtrail.operators import evaluate, factors, recommend, sampling, shaping
+from playtrail.operators import evaluate, factors, recommend, sampling, shaping, similarity
 from playtrail.operators.ordering import dense_index
 
 
@@ -120,7 +120,9 @@ def test_unseen_pairs_refuses_long_lists(spark):
         recommend.unseen_pairs(users, list(range(1001)), slates(spark, [1]))
 
 
-def test_model_slates_for_heavy_and_light_users(spark):
+@pytest.mark.parametrize("block", [7, 1024])
+def test_model_slates_for_heavy_and_light_users(spark, monkeypatch, block):
+    monkeypatch.setattr(similarity, "BLOCK_ROWS", block)
     rng = random.Random(8)
     watched = {0: range(55), 1: [3], 2: [], **{u: rng.sample(range(60), 10) for u in range(3, 12)}}
     counts = spark.createDataFrame([(u, c, 1 + (u + c) % 3) for u in watched for c in watched[u]], "account_id bigint, content_id bigint, n bigint")
