@@ -52,27 +52,32 @@ def _in_cells(vectors: DataFrame, pivots: np.ndarray) -> DataFrame:
     )
 
 
-def vector_blocks(vectors: DataFrame, largest: int | None = None) -> DataFrame:
-    """Vectors in blocks of near ones: ids, packed values, centre and radius of every block.
+def _parts(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
-    Without ``largest`` blocks grow with the data, so that their number stays bounded.
 
-    Rows are ordered by cell over as many tasks as there is data; a cell holding many copies of
-    one vector simply fills several blocks.  The blocks are written, so they stay as they are.
-    """
-    spark = vectors.sparkSession
-    n = vectors.count()
-    size = largest or max(BLOCK_ROWS, -(-n // MAX_BLOCKS))
+def _cells(vectors: DataFrame, n: int, size: int) -> DataFrame:
+    """Vectors with the nearest of a few drawn pivots, about one pivot per block."""
     wanted = min(MAX_PIVOTS, -(-n // size))
     drawn = vectors.select("content_id", "vector").orderBy(hash_hex("pivot", F.col("content_id"))).limit(wanted)
-    pivots = drawn.toPandas()
-    if pivots.empty:
+    return _in_cells(vectors, _matrix(drawn.toPandas()["vector"]))
+
+
+def vector_blocks(vectors: DataFrame, near: bool = True) -> DataFrame:
+    """Vectors in blocks: ids, packed values, centre and radius of every block.
+
+    With ``near`` a block holds vectors near to one another, and blocks grow with the data so
+    that their number stays bounded; otherwise it holds neighbouring ids.  Rows are ordered over
+    as many tasks as there is data; a cell holding many copies of one vector simply fills several
+    blocks.  The blocks are written, so they stay as they are.
+    """
+    n = vectors.count()
+    if not n:
         raise ValueError("no vectors")
-    parts = min(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n // size))
-    ordered = (
-        _in_cells(vectors, _matrix(pivots["vector"]))
-        .repartitionByRange(parts, "cell", "content_id")
-        .sortWithinPartitions("cell", "content_id")
+    size = max(BLOCK_ROWS, -(-n // MAX_BLOCKS)) if near else BLOCK_ROWS
+    rows = _cells(vectors, n, size) if near else vectors.select("content_id", "vector", F.lit(0).alias("cell"))
+    ordered = rows.repartitionByRange(min(_parts(vectors), -(-n // size)), "cell", "content_id").sortWithinPartitions(
+        "cell", "content_id"
     )
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -132,7 +137,9 @@ def _block_pairs(blocks: DataFrame, k: int, probes: int | None) -> DataFrame:
                     keep &= gap <= np.sort(gap)[min(probes, len(gap)) - 1]
                 yield pd.DataFrame({"q": q, "s": names[keep]})
 
-    return blocks.select("block", "centre", "radius").mapInPandas(partners, "q bigint, s bigint")
+    found = blocks.select("block", "centre", "radius").mapInPandas(partners, "q bigint, s bigint")
+    # Pairs are few and small but each is much work, so their number of tasks is not left to their size.
+    return found.repartition(_parts(blocks), "q", "s")
 
 
 def _nearest(q: np.ndarray, s: np.ndarray, s_ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -192,8 +199,8 @@ def best_products(users: DataFrame, items: DataFrame, seen: DataFrame, k: int, u
     that product, and is struck out before the ``k`` best leave it; a user who has seen nearly
     everything costs no more than any other.
     """
-    left = vector_blocks(users.select(F.col(user_col).alias("content_id"), "vector"), BLOCK_ROWS)
-    right = vector_blocks(items, BLOCK_ROWS)
+    left = vector_blocks(users.select(F.col(user_col).alias("content_id"), "vector"), near=False)
+    right = vector_blocks(items, near=False)
     at_left = left.select(F.col("block").alias("q"), F.posexplode("ids").alias("_i", user_col))
     at_right = right.select(F.col("block").alias("s"), F.posexplode("ids").alias("_j", "content_id"))
     cell = F.col("_i").cast("bigint") * BLOCK_ROWS + F.col("_j")
@@ -203,7 +210,7 @@ def best_products(users: DataFrame, items: DataFrame, seen: DataFrame, k: int, u
     names = F.array(*[F.lit(r["block"]) for r in right.select("block").collect()]).cast("array<bigint>")
     q_side = left.select(F.col("block").alias("q"), F.col("ids").alias("q_ids"), F.col("payload").alias("q_data"))
     s_side = right.select(F.col("block").alias("s"), F.col("ids").alias("s_ids"), F.col("payload").alias("s_data"))
-    meetings = q_side.select("q", F.explode(names).alias("s")).join(struck, ["q", "s"], "left")
+    meetings = q_side.select("q", F.explode(names).alias("s")).repartition(_parts(left), "q", "s").join(struck, ["q", "s"], "left")
     rows = meetings.join(q_side, "q").join(s_side, "s").select("q_ids", "q_data", "s_ids", "s_data", "cells")
     width = BLOCK_ROWS
 
