@@ -115,26 +115,19 @@ def id_range(plays: DataFrame, catalog: DataFrame) -> DataFrame:
     )
 
 
-def dense_ids(bounds: DataFrame, name: str) -> DataFrame:
-    """All ids from ``lo`` to ``hi`` of a one-row frame."""
-    row = bounds.select("lo", "hi").first()
-    return bounds.sparkSession.range(row["lo"], row["hi"] + 1).withColumnRenamed("id", name)
+def zero_filled_axis(counts: DataFrame, ids: DataFrame, axis: str) -> DataFrame:
+    """All given ids of an axis with their total, zero where there is no play.
 
-
-def zero_filled_axis(counts: DataFrame, bounds: DataFrame, axis: str) -> DataFrame:
-    """All ids of an axis with their total, zero where there is no play."""
+    The ids are those that occur, not a range up to the largest: hashed ids have no range worth filling.
+    """
     totals = counts.groupBy(axis).agg(F.sum("n").alias("n"))
-    return dense_ids(bounds, axis).join(totals, axis, "left").select(axis, F.coalesce("n", F.lit(0)).alias("n"))
+    return ids.select(axis).distinct().join(totals, axis, "left").select(axis, F.coalesce("n", F.lit(0)).alias("n"))
 
 
-def zero_filled_grid(counts: DataFrame, users: DataFrame, items: list[int], max_items: int = 1000) -> DataFrame:
-    """The grid of all users and a short list of contents, zero where there is no play."""
-    if len(items) > max_items:
-        raise ValueError(f"{len(items)} columns asked for, at most {max_items} can be laid out densely")
-    wanted = F.array(*[F.lit(int(i)).cast("bigint") for i in items])
-    cells = users.select("account_id", F.explode(wanted).alias("content_id"))
-    chosen = counts.where(F.col("content_id").isin([int(i) for i in items]))
-    return cells.join(chosen, ["account_id", "content_id"], "left").fillna({"n": 0})
+def zero_filled_cells(counts: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The counts of given (account, content) pairs, zero where there is no play."""
+    cells = pairs.select("account_id", "content_id").distinct()
+    return cells.join(counts, ["account_id", "content_id"], "left").fillna({"n": 0})
 
 
 def activity_quantiles(plays: DataFrame, probs=(0.5, 0.9, 0.95, 0.99, 1.0), user_col: str = "account_id") -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from playtrail.operators.counting import first_watch
-from playtrail.operators.ordering import mid_ranks, top_k
+from playtrail.operators.ordering import mid_ranks, running_count, top_k
 
 
 def truth_slates(plays: DataFrame, k: int = 20, user_col: str = "account_id") -> DataFrame:
@@ -75,7 +75,7 @@ def map_at_k(users: DataFrame, preds: DataFrame, truth: DataFrame, k: int = 20)
 
 def cumulative_hits(hits: DataFrame) -> DataFrame:
     """Hits so far divided by position, for the hit rows of slates."""
-    numbered = top_k(hits, ["account_id"], [F.asc("pos")], k=2**31 - 1, name="hits_so_far")
+    numbered = running_count(hits, ["account_id"], [F.asc("pos")], "hits_so_far")
     return numbered.withColumn("precision", F.col("hits_so_far") / F.col("pos"))
 
 

@@ -13,10 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from playtrail.operators.counting import content_tokens, frequency_cut
-from playtrail.scratch import pin
-
-# Most levels of one column that may become positions of a dense vector.
-MAX_DENSE_LEVELS = 10_000
+from playtrail.operators.ordering import dense_index
+from playtrail.scratch import pin, through_table
 
 NUMERIC = [
     "released_year_mean", "run_time_min_mean", "run_time_min_median", "made_for_tv_mean",
@@ -42,18 +40,18 @@ def one_hot_drop_rarest(rollup: DataFrame, col: str = "audience") -> DataFrame:
     return one_hot(rollup, col, frequency_cut(rollup, col, drop_last=True))
 
 
-def level_list(levels: DataFrame) -> list[str]:
-    """Levels in alphabetical order, refused if too many for a dense vector."""
-    found = [r["level"] for r in levels.select("level").limit(MAX_DENSE_LEVELS + 1).collect()]
-    if len(found) > MAX_DENSE_LEVELS:
-        raise ValueError("too many levels for a dense vector; keep them as rows")
-    return sorted(found)
-
+def one_hot_arrays(rows: DataFrame, col: str, levels: DataFrame, name: str, item: str = "content_id") -> DataFrame:
+    """(item, 0/1 for every level in alphabetical order, all zeros for any other value).
 
-def one_hot_array(col: Column, levels: list[str]) -> Column:
-    """0/1 for every level of the list, all zeros for any other value."""
-    listed = F.array(*[F.lit(v) for v in levels]).cast("array<string>")
-    return F.transform(listed, lambda level: F.coalesce((level == col).cast("double"), F.lit(0.0)))
+    Levels are numbered by a range sort and joined; their list is never on the driver.
+    """
+    index = through_table(dense_index(levels.select("level").where("level IS NOT NULL").distinct(), "level"), "levels")
+    n = index.count()
+    placed = rows.select(item, F.col(col).alias("level")).join(index, "level", "left")
+    if not n:
+        return placed.select(item, F.array().cast("array<double>").alias(name))
+    hot = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.coalesce((i == F.col("idx")).cast("double"), F.lit(0.0)))
+    return placed.select(item, hot.alias(name))
 
 
 def bag_of_words(catalog: DataFrame, col: str) -> DataFrame:
@@ -150,16 +148,16 @@ def _apply(entries: DataFrame, side: DataFrame, on: str, to: str) -> DataFrame:
 
 
 def _gaussian(tokens: DataFrame, width: int, seed: int) -> DataFrame:
-    """One random row per token, drawn from the token itself and so always the same."""
+    """One random row per token, drawn from hashes of the token and so always the same."""
 
-    def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = [
-                np.random.default_rng([seed, *str(t).encode()]).standard_normal(width) for t in batch["token"]
-            ]
-            yield pd.DataFrame({"token": batch["token"], "vec": rows})
+    def uniform(j: Column, salt: int) -> Column:
+        return (F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.lit(salt), "token", j), 11).cast("double") + 0.5) / float(2**53)
 
-    return tokens.mapInPandas(draw, "token string, vec array<double>")
+    normal = F.transform(
+        F.sequence(F.lit(0), F.lit(width - 1)),
+        lambda j: F.sqrt(-2 * F.log(uniform(j, 1))) * F.cos(2 * F.pi() * uniform(j, 2)),
+    )
+    return tokens.select("token", normal.alias("vec"))
 
 
 def truncated_svd(bow: DataFrame, k: int, oversample: int = 10, n_iter: int = 5, seed: int = 117) -> tuple[DataFrame, np.ndarray]:
@@ -208,12 +206,17 @@ def _signs(loadings: DataFrame, rotation: np.ndarray) -> np.ndarray:
     return signs
 
 
-def explained_variance(bow: DataFrame, projected: DataFrame, n_items: int) -> DataFrame:
-    """Population variance of each component, and its share of the variance of all token columns."""
+def token_variance(bow: DataFrame, n_items: int) -> Column:
+    """Sum of the population variances of all token columns, as a scalar."""
     sums = bow.groupBy("token").agg(
         F.sum("n").cast("double").alias("s1"), F.sum(F.col("n") * F.col("n")).cast("double").alias("s2")
     )
-    total = sums.agg(F.sum(F.col("s2") / n_items - (F.col("s1") / n_items) ** 2)).scalar()
+    return sums.agg(F.sum(F.col("s2") / n_items - (F.col("s1") / n_items) ** 2)).scalar()
+
+
+def explained_variance(bow: DataFrame, projected: DataFrame, n_items: int) -> DataFrame:
+    """Population variance of each component, and its share of the variance of all token columns."""
+    total = token_variance(bow, n_items)
     moments = projected.select(F.posexplode("vec").alias("component", "x")).groupBy("component").agg(
         F.sum("x").alias("s1"), F.sum(F.col("x") * F.col("x")).alias("s2")
     )
@@ -223,23 +226,25 @@ def explained_variance(bow: DataFrame, projected: DataFrame, n_items: int) -> Da
     )
 
 
-def item_vectors(catalog: DataFrame, rollup: DataFrame, ranks: dict[str, int], min_country: int = 50) -> DataFrame:
+def item_vectors(catalog: DataFrame, rollup: DataFrame, ranks: dict[str, int], min_country: int = 50, n_iter: int = 5) -> DataFrame:
     """One vector per content: one-hot levels, then the scaled SVD projections and numbers.
 
     ``ranks`` names the token columns and the rank of each.  A missing number becomes the
     column's mean, that is 0 after scaling.
     """
     levels = {
-        "show_type": level_list(frequency_cut(rollup, "show_type", top=4)),
-        "country_of_origin": level_list(frequency_cut(rollup, "country_of_origin", min_count=min_country)),
-        "audience": level_list(frequency_cut(rollup, "audience", drop_last=True)),
+        "show_type": frequency_cut(rollup, "show_type", top=4),
+        "country_of_origin": frequency_cut(rollup, "country_of_origin", min_count=min_country),
+        "audience": frequency_cut(rollup, "audience", drop_last=True),
     }
     numbers = standard_scale(rollup, NUMERIC)
-    parts = [one_hot_array(F.col(c), levels[c]) for c in levels]
-    parts.append(F.transform(F.array(*NUMERIC), lambda x: F.coalesce(x, F.lit(0.0))))
-    rows = numbers.select("content_id", F.concat(*parts).alias("vector"))
+    filled = F.transform(F.array(*NUMERIC), lambda x: F.coalesce(x, F.lit(0.0)))
+    rows = numbers.select("content_id", filled.alias("_numbers"))
+    for c, kept in levels.items():
+        rows = rows.join(one_hot_arrays(rollup, c, kept, f"_{c}"), "content_id")
+    rows = rows.select("content_id", F.concat(*[f"_{c}" for c in levels], "_numbers").alias("vector"))
     for col, k in ranks.items():
-        projected, singular = truncated_svd(bag_of_words(catalog, col), k)
+        projected, singular = truncated_svd(bag_of_words(catalog, col), k, n_iter=n_iter)
         # A content without tokens is a row of zeros and takes part in the scaling.
         zeros = _lit_array([0.0] * len(singular))
         filled = rollup.select("content_id").join(projected, "content_id", "left").select(
@@ -251,6 +256,25 @@ def item_vectors(catalog: DataFrame, rollup: DataFrame, ranks: dict[str, int], m
     return rows
 
 
+def linear_encoder(vectors: DataFrame, targets: DataFrame, ridge: float = 1e-2) -> DataFrame:
+    """Targets predicted from the vectors by least squares, for every row of ``vectors``.
+
+    ``targets`` gives vectors of some of the items; all others get theirs from what is known of them.  The
+    normal equations are sums over rows, one small matrix per task.
+    """
+    known = vectors.join(targets.select("content_id", F.col("vector").alias("_t")), "content_id")
+    one = F.array(F.lit(1.0))
+    rows = known.select(F.concat("vector", one, "_t").alias("vec"))
+    sizes = known.select(F.size("vector").alias("n"), F.size("_t").alias("m")).first()
+    if sizes is None:
+        return vectors.limit(0)
+    n = sizes["n"] + 1
+    gram = _gram(rows, n + sizes["m"])
+    solved = np.linalg.solve(gram[:n, :n] + ridge * np.eye(n), gram[:n, n:])
+    encoded = _times(vectors.select("content_id", F.concat("vector", one).alias("vec")), "content_id", solved)
+    return encoded.withColumnRenamed("vec", "vector")
+
+
 def model_item_features(vectors: DataFrame, scalars: list[tuple[DataFrame, str]]) -> DataFrame:
     """Append one number per item from each (frame, column); a missing one counts 0."""
     joined = reduce(lambda df, s: df.join(s[0].select("content_id", s[1]), "content_id", "left"), scalars, vectors)

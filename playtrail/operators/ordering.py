@@ -11,9 +11,6 @@ from pyspark.sql import functions as F
 
 from playtrail.scratch import pin, through_table
 
-# Lists up to this length, once counted, are numbered by a plain window.
-ONE_TASK_ROWS = 100_000
-
 _PART, _N, _ROW = "_part", "_n", "_row"
 
 
@@ -89,16 +86,14 @@ def top_items(ranking: DataFrame, n: int = 200, by: str = "score", item: str = "
 def ranked(scores: DataFrame, by: str = "score", item: str = "content_id") -> DataFrame:
     """Items with their place in the list ordered by falling score, ties by id.
 
-    The scores are written first and the result is read from a table, so that it carries its
-    real size into later joins.  A list counted to be short is numbered in one task.
+    The result is read from a table, so that it carries its real size into later joins.
     """
-    table = through_table(scores, "scores")
-    order = [F.desc(by), F.asc(item)]
-    if table.count() <= ONE_TASK_ROWS:
-        numbered = table.withColumn("rank", F.row_number().over(Window.orderBy(*order)).cast("bigint"))
-    else:
-        numbered = positions(table, order, name="rank")
-    return through_table(numbered, "ranking")
+    return through_table(positions(scores, [F.desc(by), F.asc(item)], name="rank"), "ranking")
+
+
+def running_count(df: DataFrame, keys: list[str], order: list[Column], name: str) -> DataFrame:
+    """Rows numbered 1..n within groups by a plain window, for groups that are read as a whole anyway."""
+    return df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("bigint"))
 
 
 def dense_index(items: DataFrame, item: str = "content_id") -> DataFrame:

@@ -14,10 +14,14 @@ from playtrail.operators.counting import (
 )
 from playtrail.operators.ordering import ranked, top_items, top_k
 from playtrail.operators.shaping import drop_seen, first_play_only, keep_members, merge_candidates
+from playtrail.scratch import through_table
 
 # Ranks up to here are looked up by broadcast (under 2 MB); deeper ones by shuffle.
 HEAD_RANKS = 1 << 16
 
+# An account's seen ranks are counted in stretches of so many ranks.
+STRETCH = 4096
+
 
 def popularity_ranking(plays: DataFrame, ranking: str = "plays") -> DataFrame:
     """Contents by rank: ``plays``, ``per_asset`` (asset-normalized) or ``first_play`` (one play per account)."""
@@ -38,15 +42,32 @@ def unseen_ranks(users: DataFrame, seen_ranks: DataFrame, k: int) -> DataFrame:
     Between two neighbouring seen ranks lies a run of unseen ones, and the number of unseen
     ranks above the j-th seen rank r is r - j; only the runs that still start within the
     first ``k`` are unfolded.  No user-by-item product is formed and no list is collected.
+
+    An account that has seen most of the catalogue is counted in stretches of ``STRETCH`` ranks, so that
+    no task sorts more than that of it; stretches that begin with ``k`` unseen ranks above
+    them are dropped whole.
     """
     zero = F.lit(0).cast("bigint")
     marks = seen_ranks.select("account_id", "rank").unionByName(users.select("account_id", zero.alias("rank")))
-    w = Window.partitionBy("account_id").orderBy("rank")
-    runs = marks.select(
+    marks = marks.withColumn("stretch", F.floor(F.col("rank") / STRETCH))
+    in_order = Window.partitionBy("account_id").orderBy("stretch")
+    stretches = (
+        marks.groupBy("account_id", "stretch")
+        .agg(F.count(F.lit(1)).alias("n"), F.min("rank").alias("first"))
+        .select(
+            "account_id",
+            "stretch",
+            F.coalesce(F.sum("n").over(in_order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"),
+            F.lead("first").over(in_order).alias("later"),
+        )
+        .where(F.col("stretch") * STRETCH - F.col("before") < k)
+    )
+    w = Window.partitionBy("account_id", "stretch").orderBy("rank")
+    runs = marks.join(stretches, ["account_id", "stretch"]).select(
         "account_id",
         "rank",
-        (F.row_number().over(w) - 1).alias("seen_above"),
-        F.lead("rank").over(w).alias("next_rank"),
+        (F.row_number().over(w) - 1 + F.col("before")).alias("seen_above"),
+        F.coalesce(F.lead("rank").over(w), "later").alias("next_rank"),
     ).where(F.col("rank") - F.col("seen_above") < k)
     last = F.col("seen_above") + k
     runs = runs.withColumn("last", F.least(F.coalesce(F.col("next_rank") - 1, last), last))
@@ -61,8 +82,9 @@ def contents_at(ranks: DataFrame, ranking: DataFrame) -> DataFrame:
     """Replace ranks by contents.
 
     Nearly every account asks for the first ranks: those come from a broadcast of at most
-    ``HEAD_RANKS`` rows, and only the rare deep ranks are shuffled.
+    ``HEAD_RANKS`` rows, and only the rare deep ranks are shuffled.  The ranks are written once for both.
     """
+    ranks = through_table(ranks, "ranks")
     head = F.broadcast(ranking.where(F.col("rank") <= HEAD_RANKS))
     tail = ranking.where(F.col("rank") > HEAD_RANKS)
     return (
@@ -95,19 +117,16 @@ def new_releases(catalog: DataFrame, cutoff: str) -> DataFrame:
     return latest_start(catalog).where(F.col("latest_start") > F.lit(cutoff).cast("timestamp_ntz"))
 
 
-def candidates(users: DataFrame, history: DataFrame, top: DataFrame, new: DataFrame, neighbors: DataFrame, user_col: str = "account_id", max_users: int = 1000) -> DataFrame:
-    """Popular items, new releases and neighbours of everything watched, without the watched.
+def candidates(users: DataFrame, history: DataFrame, top: DataFrame, new: DataFrame, neighbors: DataFrame, user_col: str = "account_id") -> DataFrame:
+    """Popular items, new releases and neighbours of everything watched, without the watched, for every user.
 
-    Meant for a drawn sample of at most ``max_users`` users, whose ids are unfolded on the rows
-    of the shared lists; for all users keep the two parts of :func:`split_candidates` apart.
+    This listing has a row per user and shared item by its nature.  Slates don't need it: they take the two
+    parts of :func:`split_candidates` as they are.
     """
-    ids = [r[0] for r in users.select(user_col).limit(max_users + 1).collect()]
-    if len(ids) > max_users:
-        raise ValueError(f"candidates are listed for at most {max_users} users; draw a sample first")
-    history = history.where(F.col(user_col).isin(ids))
+    history = history.join(users.select(user_col), user_col, "left_semi")
     shared, own = split_candidates(history, top, new, neighbors, user_col)
-    everyone = F.array(*[F.lit(i) for i in ids]).cast("array<bigint>")
-    spread = shared.select(F.explode(everyone).alias(user_col), "content_id")
+    listed = shared.agg(F.sort_array(F.collect_set("content_id"))).scalar()
+    spread = users.select(user_col, F.explode(listed).alias("content_id"))
     return drop_seen(merge_candidates(spread, own), history, user_col)
 
 
@@ -119,14 +138,9 @@ def split_candidates(history: DataFrame, top: DataFrame, new: DataFrame, neighbo
     return shared, own
 
 
-def unseen_pairs(users: DataFrame, items: list[int], seen: DataFrame, max_items: int = 1000) -> DataFrame:
-    """Pairs of every user with a short list of items, without the observed ones."""
-    if len(items) > max_items:
-        raise ValueError(f"{len(items)} items asked for, at most {max_items} can be paired with every user")
-    listed = F.array(*[F.lit(int(c)).cast("bigint") for c in items]).cast("array<bigint>")
-    pairs = users.select("account_id", F.explode(listed).alias("content_id"))
-    observed = seen.where(F.col("content_id").isin([int(c) for c in items]))
-    return drop_seen(pairs, observed)
+def unseen_pairs(pairs: DataFrame, seen: DataFrame) -> DataFrame:
+    """Given (user, item) pairs without the observed ones."""
+    return drop_seen(pairs.select("account_id", "content_id").distinct(), seen)
 
 
 def unseen_counts(users: DataFrame, items: DataFrame, seen: DataFrame) -> DataFrame:

@@ -152,11 +152,6 @@ def split_users(plays: DataFrame, prop: float = 0.2, seed: int = 117, user_col:
     return distinct_ids(plays, user_col).withColumn("is_test", test)
 
 
-def likely_test(prop: float = 0.2, seed: int = 117, user_col: str = "account_id") -> Column:
-    """A split into about ``prop`` by key alone, where the exact share does not matter."""
-    return split_key(seed, user_col) < F.lit(int(prop * 2**60))
-
-
 def sample_users_n(users: DataFrame, n: int, seed: int = 117, user_col: str = "account_id") -> DataFrame:
     """``n`` users in a reproducible random order."""
     return (

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from playtrail.functions.columns import hash_hex
@@ -14,6 +15,10 @@ from playtrail.operators.ordering import top_k
 from playtrail.operators.sampling import cowatch_draws
 from playtrail.scratch import through_table
 
+# Rows of a stripe on a grid of meetings, and rows of one product within a meeting.
+STRIPE_ROWS = 4096
+STEP = 64
+
 MAX_PIVOTS = 1024
 BLOCK_ROWS = 1024
 # The block directory is kept to this many entries by making the blocks larger.
@@ -21,8 +26,11 @@ MAX_BLOCKS = 50_000
 DECIMALS = 6
 
 
-def cowatch_pairs(seen: DataFrame, draws: int = 4, seed: int = 117, user_col: str = "customer_id") -> DataFrame:
-    """Pairs of contents drawn from the same customers, with how often each pair was drawn."""
+def cowatch_draw_counts(seen: DataFrame, draws: int = 4, seed: int = 117, user_col: str = "customer_id") -> DataFrame:
+    """Pairs of contents drawn from the same customers, with how often each pair was drawn.
+
+    ``draws`` pairs are drawn of every customer; these are not the counts of all pairs.
+    """
     drawn = cowatch_draws(seen, draws, seed, user_col)
     return drawn.groupBy(
         F.least("a", "b").alias("content_id"), F.greatest("a", "b").alias("other_id")
@@ -60,22 +68,21 @@ def _cells(vectors: DataFrame, n: int, size: int) -> DataFrame:
     """Vectors with the nearest of a few drawn pivots, about one pivot per block."""
     wanted = min(MAX_PIVOTS, -(-n // size))
     drawn = vectors.select("content_id", "vector").orderBy(hash_hex("pivot", F.col("content_id"))).limit(wanted)
-    return _in_cells(vectors, _matrix(drawn.toPandas()["vector"]))
+    pivots = drawn.toPandas()["vector"]
+    return _in_cells(vectors, _matrix(pivots) if len(pivots) else np.zeros((1, 1)))
 
 
-def vector_blocks(vectors: DataFrame, near: bool = True) -> DataFrame:
+def vector_blocks(vectors: DataFrame) -> DataFrame:
     """Vectors in blocks: ids, packed values, centre and radius of every block.
 
-    With ``near`` a block holds vectors near to one another, and blocks grow with the data so
-    that their number stays bounded; otherwise it holds neighbouring ids.  Rows are ordered over
+    A block holds vectors near to one another, and blocks grow with the data so
+    that their number stays bounded.  Rows are ordered over
     as many tasks as there is data; a cell holding many copies of one vector simply fills several
     blocks.  The blocks are written, so they stay as they are.
     """
-    n = vectors.count()
-    if not n:
-        raise ValueError("no vectors")
-    size = max(BLOCK_ROWS, -(-n // MAX_BLOCKS)) if near else BLOCK_ROWS
-    rows = _cells(vectors, n, size) if near else vectors.select("content_id", "vector", F.lit(0).alias("cell"))
+    n = max(1, vectors.count())
+    size = max(BLOCK_ROWS, -(-n // MAX_BLOCKS))
+    rows = _cells(vectors, n, size)
     ordered = rows.repartitionByRange(min(_parts(vectors), -(-n // size)), "cell", "content_id").sortWithinPartitions(
         "cell", "content_id"
     )
@@ -120,6 +127,8 @@ def _block_pairs(blocks: DataFrame, k: int, probes: int | None) -> DataFrame:
     ``probes`` only that many nearest blocks are kept, which makes the result approximate.
     """
     directory = blocks.select("block", "centre", "radius", F.size("ids").alias("n")).toPandas()
+    if not len(directory):
+        return blocks.select(F.col("block").alias("q"), F.col("block").alias("s"))
     names, centres = directory["block"].to_numpy(), _matrix(directory["centre"])
     radii, sizes = directory["radius"].to_numpy(), directory["n"].to_numpy()
     slack = 1e-5 * (1 + float(np.abs(centres).max()) + float(radii.max()))
@@ -164,9 +173,49 @@ def _first_k(groups: np.ndarray, order: np.ndarray, k: int) -> np.ndarray:
 def knn(vectors: DataFrame, k: int = 50, probes: int | None = None) -> DataFrame:
     """The ``k`` nearest vectors of every vector by Euclidean distance, itself included.
 
-    Blocks of vectors meet only where the triangle inequality cannot rule a neighbour out; two
-    blocks are compared by one matrix product, and only ``k`` rows per query leave it.
+    Vectors are dealt into stripes, and every two stripes meet in one task, on a grid: each vector is sent
+    once per stripe, products are made a few rows at a time, and only ``k`` rows per query leave a meeting.
+    With ``probes`` a query looks into the blocks with the nearest centres only, which makes the result approximate.
     """
+    if probes is not None:
+        return _probed(vectors, k, probes)
+    rows = through_table(vectors.select("content_id", "vector"), "vectors")
+    stripes = stripes_for(rows.count(), rows)
+    left = dealt(rows, "content_id", "q", stripes, "s", stripes)
+    right = dealt(rows, "content_id", "s", stripes, "q", stripes)
+
+    def compare(q_rows: pd.DataFrame, s_rows: pd.DataFrame) -> pd.DataFrame:
+        out = [pd.DataFrame({"content_id": [], "neighbor_id": [], "distance": []}).astype({"content_id": "int64", "neighbor_id": "int64"})]
+        if len(q_rows) and len(s_rows):
+            q_ids, s_ids = q_rows["content_id"].to_numpy(), s_rows["content_id"].to_numpy()
+            q, s = _matrix(q_rows["vector"]), _matrix(s_rows["vector"])
+            for at in range(0, len(q), STEP):
+                rows, near, dist = _nearest(q[at : at + STEP], s, s_ids, k)
+                out.append(pd.DataFrame({"content_id": q_ids[at : at + STEP][rows], "neighbor_id": near, "distance": dist}))
+        return pd.concat(out)
+
+    found = left.groupBy("q", "s").cogroup(right.groupBy("q", "s")).applyInPandas(
+        compare, "content_id bigint, neighbor_id bigint, distance double"
+    )
+    return top_k(found, ["content_id"], [F.asc("distance"), F.asc("neighbor_id")], k, name="rn")
+
+
+def stripes_for(n: int, df: DataFrame) -> int:
+    """Stripes of at most ``STRIPE_ROWS`` rows, and enough of them to give all tasks something to do."""
+    return max(1, -(-n // STRIPE_ROWS), min(math.isqrt(_parts(df)), -(-n // STEP)))
+
+
+def stripe_of(col: str, stripes: int) -> Column:
+    return F.pmod(F.xxhash64(col), F.lit(stripes)).cast("int")
+
+
+def dealt(rows: DataFrame, key: str, own: str, stripes: int, other: str, others: int) -> DataFrame:
+    """Rows with their own stripe, once for every stripe of the other side."""
+    every = F.explode(F.sequence(F.lit(0), F.lit(others - 1))).alias(other)
+    return rows.select("*", stripe_of(key, stripes).alias(own)).select("*", every)
+
+
+def _probed(vectors: DataFrame, k: int, probes: int) -> DataFrame:
     blocks = vector_blocks(vectors)
     body = blocks.select("block", "ids", "payload")
     pairs = (
@@ -174,16 +223,15 @@ def knn(vectors: DataFrame, k: int = 50, probes: int | None = None) -> DataFrame
         .join(body.select(F.col("block").alias("q"), F.col("ids").alias("q_ids"), F.col("payload").alias("q_data")), "q")
         .join(body.select(F.col("block").alias("s"), F.col("ids").alias("s_ids"), F.col("payload").alias("s_data")), "s")
     )
-    step = 64
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for q_ids, q_data, s_ids, s_data in zip(batch["q_ids"], batch["q_data"], batch["s_ids"], batch["s_data"]):
                 q_ids, s_ids = np.asarray(q_ids), np.asarray(s_ids)
                 q, s = _unpack(q_data, len(q_ids)), _unpack(s_data, len(s_ids))
-                for at in range(0, len(q_ids), step):
-                    rows, near, dist = _nearest(q[at : at + step], s, s_ids, k)
-                    yield pd.DataFrame({"content_id": q_ids[at : at + step][rows], "neighbor_id": near, "distance": dist})
+                for at in range(0, len(q_ids), STEP):
+                    rows, near, dist = _nearest(q[at : at + STEP], s, s_ids, k)
+                    yield pd.DataFrame({"content_id": q_ids[at : at + STEP][rows], "neighbor_id": near, "distance": dist})
 
     found = pairs.select("q_ids", "q_data", "s_ids", "s_data").mapInPandas(
         compare, "content_id bigint, neighbor_id bigint, distance double"
@@ -191,47 +239,109 @@ def knn(vectors: DataFrame, k: int = 50, probes: int | None = None) -> DataFrame
     return top_k(found, ["content_id"], [F.asc("distance"), F.asc("neighbor_id")], k, name="rn")
 
 
+def _meetings(users: DataFrame, items: DataFrame, seen: DataFrame, user_col: str):
+    """Stripes of users, with what they have seen, and stripes of items, grouped to meet on a grid."""
+    users = through_table(users.select(user_col, "vector"), "user_vectors")
+    items = through_table(items.select("content_id", "vector"), "item_vectors")
+    n_users, n_items = stripes_for(users.count(), users), stripes_for(items.count(), items)
+    watched = seen.select(
+        user_col, F.lit(None).cast("array<double>").alias("vector"), "content_id",
+        stripe_of(user_col, n_users).alias("u"), stripe_of("content_id", n_items).alias("i"),
+    )
+    left = dealt(users, user_col, "u", n_users, "i", n_items).withColumn("content_id", F.lit(None).cast("bigint"))
+    left = left.select(user_col, "vector", "content_id", "u", "i").unionByName(watched)
+    right = dealt(items, "content_id", "i", n_items, "u", n_users)
+    return left.groupBy("u", "i").cogroup(right.groupBy("u", "i"))
+
+
+def _scored(left: pd.DataFrame, right: pd.DataFrame, user_col: str):
+    """(user ids, item ids, scores, cells seen) of a meeting, some users at a time."""
+    known = left[left["vector"].notna()].sort_values(user_col)
+    right = right.sort_values("content_id")
+    u_ids, i_ids = known[user_col].to_numpy(dtype=np.int64), right["content_id"].to_numpy(dtype=np.int64)
+    if not len(u_ids) or not len(i_ids):
+        return
+    pairs = left[left["vector"].isna()]
+    pu, pi = pairs[user_col].to_numpy(dtype=np.int64), pairs["content_id"].to_numpy(dtype=np.int64)
+    at_u, at_i = np.searchsorted(u_ids, pu), np.searchsorted(i_ids, pi)
+    there = (at_u < len(u_ids)) & (at_i < len(i_ids))
+    there[there] = (u_ids[at_u[there]] == pu[there]) & (i_ids[at_i[there]] == pi[there])
+    at_u, at_i = at_u[there], at_i[there]
+    u, v = _matrix(known["vector"]), _matrix(right["vector"])
+    for lo in range(0, len(u_ids), STEP):
+        own = (at_u >= lo) & (at_u < lo + STEP)
+        struck = np.zeros((min(STEP, len(u_ids) - lo), len(i_ids)), bool)
+        struck[at_u[own] - lo, at_i[own]] = True
+        yield u_ids[lo : lo + STEP], i_ids, np.round(u[lo : lo + STEP] @ v.T, 9), struck
+
+
 def best_products(users: DataFrame, items: DataFrame, seen: DataFrame, k: int, user_col: str = "account_id") -> DataFrame:
     """The ``k`` unseen items of every user with the largest dot product of their vectors.
 
-    Every block of users meets every block of items once, in one matrix product.  What the users
-    of a block have seen of an item block arrives as a list of cells, at most one per cell of
-    that product, and is struck out before the ``k`` best leave it; a user who has seen nearly
+    Stripes of users meet stripes of items on a grid: a user's vector is sent once per stripe of items and an
+    item's once per stripe of users.  What the users have seen goes to the one meeting that it concerns
+    and is struck out of the product before the ``k`` best leave it; a user who has seen nearly
     everything costs no more than any other.
     """
-    left = vector_blocks(users.select(F.col(user_col).alias("content_id"), "vector"), near=False)
-    right = vector_blocks(items, near=False)
-    at_left = left.select(F.col("block").alias("q"), F.posexplode("ids").alias("_i", user_col))
-    at_right = right.select(F.col("block").alias("s"), F.posexplode("ids").alias("_j", "content_id"))
-    cell = F.col("_i").cast("bigint") * BLOCK_ROWS + F.col("_j")
-    struck = (
-        seen.join(at_left, user_col).join(at_right, "content_id").groupBy("q", "s").agg(F.collect_list(cell).alias("cells"))
-    )
-    names = F.array(*[F.lit(r["block"]) for r in right.select("block").collect()]).cast("array<bigint>")
-    q_side = left.select(F.col("block").alias("q"), F.col("ids").alias("q_ids"), F.col("payload").alias("q_data"))
-    s_side = right.select(F.col("block").alias("s"), F.col("ids").alias("s_ids"), F.col("payload").alias("s_data"))
-    meetings = q_side.select("q", F.explode(names).alias("s")).repartition(_parts(left), "q", "s").join(struck, ["q", "s"], "left")
-    rows = meetings.join(q_side, "q").join(s_side, "s").select("q_ids", "q_data", "s_ids", "s_data", "cells")
-    width = BLOCK_ROWS
-
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for q_ids, q_data, s_ids, s_data, cells in batch.itertuples(index=False):
-                q_ids, s_ids = np.asarray(q_ids), np.asarray(s_ids)
-                scores = np.round(_unpack(q_data, len(q_ids)) @ _unpack(s_data, len(s_ids)).T, 9)
-                if cells is not None:
-                    cells = np.asarray(cells)
-                    scores[cells // width, cells % width] = -np.inf
-                top = min(k, len(s_ids))
-                floor = np.partition(scores, len(s_ids) - top, axis=1)[:, len(s_ids) - top, None]
-                at, to = np.nonzero((scores >= floor) & (scores > -np.inf))
-                best = _first_k(at, np.lexsort((s_ids[to], -scores[at, to], at)), k)
-                yield pd.DataFrame({user_col: q_ids[at[best]], "content_id": s_ids[to[best]], "score": scores[at[best], to[best]]})
-
-    found = rows.mapInPandas(score, f"{user_col} bigint, content_id bigint, score double")
+
+    def score(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        out = [pd.DataFrame({user_col: np.zeros(0, np.int64), "content_id": np.zeros(0, np.int64), "score": np.zeros(0)})]
+        for u_ids, i_ids, scores, struck in _scored(left, right, user_col):
+            scores = np.where(struck, -np.inf, scores)
+            top = min(k, len(i_ids))
+            floor = np.partition(scores, len(i_ids) - top, axis=1)[:, len(i_ids) - top, None]
+            at, to = np.nonzero((scores >= floor) & (scores > -np.inf))
+            best = _first_k(at, np.lexsort((i_ids[to], -scores[at, to], at)), k)
+            out.append(pd.DataFrame({user_col: u_ids[at[best]], "content_id": i_ids[to[best]], "score": scores[at[best], to[best]]}))
+        return pd.concat(out)
+
+    found = _meetings(users, items, seen, user_col).applyInPandas(score, f"{user_col} bigint, content_id bigint, score double")
     return top_k(found, [user_col], [F.desc("score"), F.asc("content_id")], k)
 
 
+def catalogue_auc(users: DataFrame, items: DataFrame, positives: DataFrame, user_col: str = "account_id") -> DataFrame:
+    """(user, positives, auc) of ranking the whole catalogue by dot product, for users with positives and negatives.
+
+    Every stripe of items is ranked against the user's positives by counts: each positive learns how many
+    items of the stripe stand below it and beside it, so one row per positive and stripe leaves a meeting.
+    """
+    scores = positives.select(user_col, "content_id").distinct()
+    u = users.select(user_col, F.col("vector").alias("_u"))
+    v = items.select("content_id", F.col("vector").alias("_v"))
+    dot = F.aggregate(F.zip_with("_u", "_v", lambda x, y: x * y), F.lit(0.0), lambda acc, x: acc + x)
+    scored = through_table(scores.join(u, user_col).join(v, "content_id").select(user_col, "content_id", F.round(dot, 6).alias("score")), "positives")
+    n_users, n_items = stripes_for(users.count(), users), stripes_for(items.count(), items)
+    asked = scored.select(user_col, F.lit(None).cast("array<double>").alias("vector"), "score", stripe_of(user_col, n_users).alias("u"))
+    asked = asked.select("*", F.explode(F.sequence(F.lit(0), F.lit(n_items - 1))).alias("i"))
+    left = dealt(users.select(user_col, "vector"), user_col, "u", n_users, "i", n_items).withColumn("score", F.lit(None).cast("double"))
+    left = left.select(user_col, "vector", "score", "u", "i").unionByName(asked.select(user_col, "vector", "score", "u", "i"))
+    right = dealt(items.select("content_id", "vector"), "content_id", "i", n_items, "u", n_users)
+
+    def count(own: pd.DataFrame, others: pd.DataFrame) -> pd.DataFrame:
+        out = [pd.DataFrame({user_col: np.zeros(0, np.int64), "below": np.zeros(0)})]
+        points = {u: g["score"].to_numpy() for u, g in own[own["vector"].isna()].groupby(user_col)}
+        known = own[own["vector"].notna() & own[user_col].isin(points)]
+        if len(known) and len(others):
+            v = _matrix(others["vector"])
+            for lo in range(0, len(known), STEP):
+                part = known.iloc[lo : lo + STEP]
+                products = np.sort(np.round(_matrix(part["vector"]) @ v.T, 6), axis=1)
+                for user, row in zip(part[user_col], products):
+                    at = points[user]
+                    below = (np.searchsorted(row, at, "left") + np.searchsorted(row, at, "right")) / 2
+                    out.append(pd.DataFrame({user_col: [user], "below": [float(below.sum())]}))
+        return pd.concat(out)
+
+    counted = left.groupBy("u", "i").cogroup(right.groupBy("u", "i")).applyInPandas(count, f"{user_col} bigint, below double")
+    below = counted.groupBy(user_col).agg(F.sum("below").alias("below"))
+    total = items.agg(F.count(F.lit(1))).scalar().cast("double")
+    n = F.col("positives").cast("double")
+    # Positives count among themselves half each, which is no part of the area.
+    area = (F.col("below") - n * n / 2) / (n * (total - n))
+    per_user = scored.groupBy(user_col).agg(F.count(F.lit(1)).alias("positives"))
+    return per_user.join(below, user_col).where(n < total).select(user_col, "positives", area.alias("auc"))
+
+
 def sequence_features(sequences: DataFrame, features: DataFrame, scalars: list[str]) -> DataFrame:
     """Item features on every element of the sequences; a missing scalar counts 0."""
     joined = sequences.join(features, "content_id", "left")

@@ -143,36 +143,33 @@ def a11(spark, sf_dir):
 
 @query(
     "a12_zero_filled_axes",
-    sql("""SELECT 'account' AS axis, id, CAST(coalesce(n, 0) AS BIGINT) AS n
-     FROM (SELECT unnest(generate_series(min(account_id), max(account_id))) AS id FROM plays)
-     LEFT JOIN (SELECT account_id AS id, count(content_id) AS n FROM plays GROUP BY 1) USING (id)
+    sql("""SELECT 'account' AS axis, account_id AS id, count(content_id) AS n FROM plays WHERE account_id IS NOT NULL GROUP BY 2
     UNION ALL SELECT 'content', id, CAST(coalesce(n, 0) AS BIGINT)
-     FROM (SELECT unnest(generate_series(min(content_id), max(content_id))) AS id FROM catalog)
+     FROM (SELECT DISTINCT content_id AS id FROM catalog WHERE content_id IS NOT NULL)
      LEFT JOIN (SELECT content_id AS id, n FROM counts) USING (id)""", COUNTS),
 )
 def a12(spark, sf_dir):
     log = plays(spark, sf_dir)
     counts = counting.interaction_counts(log)
-    bounds = counting.id_range(log, catalog(spark, sf_dir))
 
-    def axis(name):
-        filled = counting.zero_filled_axis(counts, bounds.where(F.col("id") == name), name)
+    def axis(ids, name):
+        filled = counting.zero_filled_axis(counts, shaping.distinct_ids(ids, name), name)
         return filled.select(F.lit(name[:-3]).alias("axis"), F.col(name).alias("id"), "n")
 
-    return axis("account_id").unionByName(axis("content_id"))
+    return axis(log, "account_id").unionByName(axis(catalog(spark, sf_dir), "content_id"))
 
 
 @query(
     "a12_zero_filled_grid",
-    sql("""SELECT account_id, content_id, coalesce(n, 0) AS n FROM (SELECT DISTINCT account_id FROM plays)
-    CROSS JOIN (SELECT content_id FROM counts ORDER BY n DESC, content_id LIMIT 20)
-    LEFT JOIN (SELECT account_id, content_id, count(*) AS n FROM plays GROUP BY ALL) USING (account_id, content_id)""", COUNTS),
+    sql("""SELECT account_id, content_id, coalesce(n, 0) AS n
+    FROM (SELECT DISTINCT account_id, content_id FROM plays WHERE period = 3 AND content_id IS NOT NULL)
+    LEFT JOIN (SELECT account_id, content_id, count(*) AS n FROM plays WHERE period IN (1, 2) GROUP BY ALL) USING (account_id, content_id)"""),
 )
 def a12_grid(spark, sf_dir):
+    """The cells of the grid that the holdout asks for, with their counts in the history."""
     log = plays(spark, sf_dir)
-    popular = counting.item_play_count(log).orderBy(F.desc("n"), F.asc("content_id")).limit(20)
-    items = [r["content_id"] for r in popular.collect()]
-    return counting.zero_filled_grid(counting.interaction_counts(log), shaping.distinct_ids(log, "account_id"), items)
+    asked = counting.seen_items(log.where("period = 3"))
+    return counting.zero_filled_cells(counting.interaction_counts(log.where("period IN (1, 2)")), asked)
 
 
 @query(

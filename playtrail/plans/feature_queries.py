@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from playtrail.operators import counting, features
+from playtrail.operators import counting, features, shaping
 from playtrail.plans.counting_queries import ROLLUP, counted
 from playtrail.plans.registry import query
 from playtrail.plans.views import CUTOFF, catalog, sql
@@ -60,32 +60,58 @@ def f04(spark, sf_dir):
     return bags[0].unionByName(bags[1]).unionByName(bags[2])
 
 
-@query("f05_truncated_svd")
+# Contents, vocabulary and squared entries of the three token columns; variances over all contents.
+BAGS = "bags AS (" + " UNION ALL ".join([
+    BOW.format(col="category", sep="/", count="DISTINCT token"),
+    BOW.format(col="keywords", sep=",", count="DISTINCT token"),
+    BOW.format(col="cast_first_name", sep=",", count="*"),
+]) + "), ranks AS (SELECT * FROM (VALUES " + ", ".join(f"('{c}', {k})" for c, k in RANKS.items()) + ") t(field, k))"
+
+
+@query(
+    "f05_truncated_svd",
+    sql("""SELECT field, count(DISTINCT content_id) AS contents, CAST(least(any_value(k), count(DISTINCT token)) AS INTEGER) AS rank,
+     true AS falling, true AS within FROM bags JOIN ranks USING (field) GROUP BY field""", BAGS),
+)
 def f05(spark, sf_dir):
-    """Per token column: contents, rank, largest and smallest singular value, energy kept."""
+    """Per token column: contents, rank, whether singular values fall, and whether they hold a share of the energy."""
     rows = []
     for col, k in RANKS.items():
         bow = pin(features.bag_of_words(catalog(spark, sf_dir), col))
         projected, singular = features.truncated_svd(bow, k)
         energy = bow.agg(F.sum(F.col("n") * F.col("n"))).scalar()
         square = F.aggregate("vec", F.lit(0.0), lambda acc, x: acc + x * x)
+        falling = all(a >= b - 1e-9 for a, b in zip(singular, singular[1:]))
         rows.append(
             projected.agg(F.count(F.lit(1)).alias("contents"), F.sum(square).alias("kept")).select(
                 F.lit(col).alias("field"), "contents", F.lit(len(singular)).alias("rank"),
-                F.lit(float(singular[0])).alias("largest"), F.lit(float(singular[-1])).alias("smallest"),
-                (F.col("kept") / energy).alias("energy_share"),
+                F.lit(falling).alias("falling"), ((F.col("kept") / energy).between(0.01, 1 + 1e-9)).alias("within"),
             )
         )
     return rows[0].unionByName(rows[1]).unionByName(rows[2])
 
 
-@query("f06_explained_variance")
+@query(
+    "f06_explained_variance",
+    sql("""SELECT field, CAST(least(any_value(k), count(*)) AS INTEGER) AS components, round(sum(s2 / n - (s1 / n) ^ 2), 6) AS total, true AS within
+    FROM (SELECT field, token, sum(n) AS s1, sum(n * n) AS s2 FROM bags GROUP BY ALL) JOIN ranks USING (field)
+    CROSS JOIN (SELECT CAST(count(DISTINCT content_id) AS DOUBLE) AS n FROM catalog) GROUP BY field""", BAGS),
+)
 def f06(spark, sf_dir):
-    rows = catalog(spark, sf_dir)
-    bow = pin(features.bag_of_words(rows, "keywords"))
-    n_items = rows.where("content_id IS NOT NULL").select("content_id").distinct().count()
-    projected, _ = features.truncated_svd(bow, 20)
-    return features.explained_variance(bow, projected, n_items)
+    """Variance of the three token columns, and whether the components explain a share of it."""
+    rows, out = catalog(spark, sf_dir), []
+    n_items = shaping.distinct_ids(rows, "content_id").count()
+    for col, k in RANKS.items():
+        bow = pin(features.bag_of_words(rows, col))
+        projected, _ = features.truncated_svd(bow, k)
+        explained = features.explained_variance(bow, projected, n_items)
+        out.append(
+            explained.agg(F.count(F.lit(1)).cast("int").alias("components"), F.sum("ratio").alias("share")).select(
+                F.lit(col).alias("field"), "components", F.round(features.token_variance(bow, n_items), 6).alias("total"),
+                F.col("share").between(0, 1 + 1e-9).alias("within"),
+            )
+        )
+    return out[0].unionByName(out[1]).unionByName(out[2])
 
 
 SCALED = ["released_year_mean", "run_time_min_mean", "pack_premium_1_mean", "pay_per_view_mean"]
@@ -102,11 +128,19 @@ def f07(spark, sf_dir):
     return scaled.select("content_id", *[F.round(c, 6).alias(c) for c in SCALED])
 
 
-@query("f09_item_vectors")
+@query(
+    "f09_item_vectors",
+    sql("""SELECT content_id, CAST((SELECT least(4, count(DISTINCT show_type)) FROM rollup)
+     + (SELECT count(*) FROM (SELECT country_of_origin FROM rollup WHERE country_of_origin IS NOT NULL GROUP BY 1 HAVING count(*) > 40))
+     + (SELECT count(DISTINCT audience) - 1 FROM rollup) + 7
+     + (SELECT sum(least(k, words)) FROM (SELECT field, count(DISTINCT token) AS words FROM bags GROUP BY field) JOIN ranks USING (field))
+     AS INTEGER) AS dims, true AS finite FROM rollup""", ROLLUP, BAGS),
+)
 def f09(spark, sf_dir):
     rows = catalog(spark, sf_dir)
     vectors = features.item_vectors(rows, pin(counting.content_rollup(rows)), RANKS, min_country=40)
-    return vectors.select("content_id", F.size("vector").alias("dims"), F.array_max("vector").alias("largest"))
+    finite = F.forall("vector", lambda x: x.isNotNull() & (F.abs(x) < 1e6))
+    return vectors.select("content_id", F.size("vector").alias("dims"), finite.alias("finite"))
 
 
 DUMMY_COLUMNS = [

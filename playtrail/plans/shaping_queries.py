@@ -174,13 +174,13 @@ TOP_CUSTOMERS = """top AS (SELECT content_id, count(DISTINCT customer_id) AS use
 
 @query(
     "j07_unseen_pairs",
-    sql("""SELECT account_id, content_id FROM (SELECT DISTINCT account_id FROM plays) CROSS JOIN top
-    EXCEPT SELECT account_id, content_id FROM plays""", TOP_CUSTOMERS),
+    sql("""SELECT account_id, content_id FROM plays WHERE period = 3 AND content_id IS NOT NULL
+    EXCEPT SELECT account_id, content_id FROM plays WHERE period IN (1, 2)"""),
 )
 def j07(spark, sf_dir):
+    """Pairs of the holdout that the history has not seen."""
     log = plays(spark, sf_dir)
-    listed = [r["content_id"] for r in recommend.top_popular(log, 200).collect()]
-    return recommend.unseen_pairs(shaping.distinct_ids(log, "account_id"), listed, counting.seen_items(log))
+    return recommend.unseen_pairs(counting.seen_items(log.where(holdout())), counting.seen_items(log.where(history())))
 
 
 @query(
@@ -310,11 +310,13 @@ def u02(spark, sf_dir):
 @query(
     "u03_difference",
     sql("""SELECT DISTINCT content_id FROM catalog WHERE content_id IS NOT NULL
-    EXCEPT SELECT content_id FROM plays WHERE period = 3"""),
+    EXCEPT SELECT content_id FROM plays WHERE period = 3 AND tunein < TIMESTAMP '2000-01-15'"""),
 )
 def u03(spark, sf_dir):
+    """Titles that nobody plays in the first two weeks of the holdout."""
     listed = shaping.distinct_ids(catalog(spark, sf_dir), "content_id")
-    return shaping.difference(listed, plays(spark, sf_dir).where(holdout()), ["content_id"])
+    early = F.col("tunein") < F.lit("2000-01-15 00:00:00").cast("timestamp_ntz")
+    return shaping.difference(listed, plays(spark, sf_dir).where(holdout() & early), ["content_id"])
 
 
 @query(
@@ -385,9 +387,9 @@ def x03(spark, sf_dir):
     return catalog(spark, sf_dir).select("asset_id", X.flag(F.col("made_for_tv")).alias("made_for_tv"))
 
 
-@query("x04_month", "SELECT CAST(month(ts) AS INTEGER) AS month, count(*) AS n FROM events GROUP BY 1")
+@query("x04_month", "SELECT CAST(month(o_orderdate) AS INTEGER) AS month, count(*) AS n FROM orders GROUP BY 1")
 def x04(spark, sf_dir):
-    return table(spark, sf_dir, "events").groupBy(X.month_of(F.col("ts")).alias("month")).agg(F.count(F.lit(1)).alias("n"))
+    return table(spark, sf_dir, "orders").groupBy(X.month_of(F.col("o_orderdate")).alias("month")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(

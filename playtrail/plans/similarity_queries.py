@@ -31,11 +31,11 @@ def item_index(spark, sf_dir):
 
 
 @query(
-    "j08_cowatch_pairs",
+    "j08_cowatch_draws",
     sql("""SELECT least(a, b) AS content_id, greatest(a, b) AS other_id, count(*) AS n FROM draws GROUP BY 1, 2""", DRAWS.format(n=4)),
 )
 def j08(spark, sf_dir):
-    return similarity.cowatch_pairs(counting.seen_items(plays(spark, sf_dir), "customer_id"))
+    return similarity.cowatch_draw_counts(counting.seen_items(plays(spark, sf_dir), "customer_id"))
 
 
 NEIGHBORS = """neighbors AS (SELECT a.vec_id AS content_id, b.vec_id AS neighbor_id, round(sqrt(list_sum(list_transform(
@@ -59,14 +59,17 @@ def j09(spark, sf_dir):
     return similarity.knn(embeddings(spark, sf_dir), 50)
 
 
-@query("j09_approximate_knn")
+@query(
+    "j09_approximate_knn",
+    "SELECT CAST(sum(least(50, n)) AS BIGINT) AS total, true AS enough FROM (SELECT count(*) OVER () AS n FROM embeddings)",
+)
 def j09_approximate(spark, sf_dir):
-    """Share of the exact neighbours that looking into the nearest block alone finds."""
+    """Exact neighbours, and whether looking into the nearest block alone finds a third of them."""
     vectors = embeddings(spark, sf_dir)
     exact, near = similarity.knn(vectors, 50), similarity.knn(vectors, 50, probes=1)
     hits = exact.join(near, ["content_id", "neighbor_id"], "left_semi").groupBy().agg(F.count(F.lit(1)).alias("hits"))
     total = exact.agg(F.count(F.lit(1))).scalar()
-    return hits.select("hits", total.alias("total"), (F.col("hits") / total).alias("recall"))
+    return hits.select(total.alias("total"), (F.col("hits") >= total / 3).alias("enough"))
 
 
 @query(
@@ -95,19 +98,20 @@ def j10(spark, sf_dir):
 @query(
     "r13_candidates",
     sql("""SELECT customer_id, content_id FROM (
-      SELECT customer_id, content_id FROM drawn CROSS JOIN (SELECT content_id FROM top UNION SELECT content_id FROM fresh)
-      UNION SELECT customer_id, neighbor_id FROM past JOIN drawn USING (customer_id) JOIN neighbors USING (content_id))
+      SELECT customer_id, content_id FROM (SELECT DISTINCT customer_id FROM past)
+       CROSS JOIN (SELECT content_id FROM popular UNION SELECT content_id FROM fresh)
+      UNION SELECT customer_id, neighbor_id FROM past JOIN neighbors USING (content_id))
     ANTI JOIN past USING (customer_id, content_id)""",
-        TOP_CUSTOMERS, NEW_RELEASES, NEIGHBORS.format(k=50),
-        "past AS (SELECT DISTINCT customer_id, content_id FROM plays WHERE period IN (1, 2) AND content_id IS NOT NULL)",
-        "drawn AS (SELECT customer_id FROM (SELECT DISTINCT customer_id FROM past) ORDER BY md5('117:' || customer_id), customer_id LIMIT 1000)"),
+        NEW_RELEASES, NEIGHBORS.format(k=50),
+        "past AS (SELECT DISTINCT customer_id, content_id FROM plays WHERE period IN (1, 2) AND resume = 0 AND content_id IS NOT NULL)",
+        "popular AS (SELECT content_id FROM past GROUP BY content_id ORDER BY count(*) DESC, content_id LIMIT 200)"),
 )
 def r13(spark, sf_dir):
-    log = plays(spark, sf_dir)
-    past = counting.seen_items(log.where("period IN (1, 2)"), "customer_id")
-    users = shaping.sample_users_n(past.select("customer_id").distinct(), 1000, user_col="customer_id")
+    """Candidates of every customer, from the history without resumes."""
+    log = shaping.exclude_resumes(plays(spark, sf_dir)).where("period IN (1, 2)")
+    past = counting.seen_items(log, "customer_id")
     return recommend.candidates(
-        users,
+        shaping.distinct_ids(past, "customer_id"),
         past,
         recommend.top_popular(log, 200),
         recommend.new_releases(catalog(spark, sf_dir), CUTOFF),

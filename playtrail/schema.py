@@ -37,4 +37,3 @@ CATALOG = T.StructType(
 )
 
 FLAG_COLUMNS = ["made_for_tv", "pay_per_view", "pack_premium_1", "pack_premium_2"]
-DATE_COLUMNS = ["create_date", "modify_date", "start_vod_date", "end_vod_date"]

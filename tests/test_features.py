@@ -66,9 +66,10 @@ def test_standard_scaling(spark):
 
 def test_one_hot_array_and_rows_agree(spark):
     df = spark.createDataFrame([(i, "abcd"[i % 4] if i < 11 else "z") for i in range(12)], "content_id bigint, show_type string")
-    levels = features.level_list(counting.frequency_cut(df, "show_type", top=4))
+    kept = counting.frequency_cut(df, "show_type", top=4)
+    levels = sorted(r["level"] for r in kept.collect())
     assert levels == ["a", "b", "c", "d"]
-    arrays = {r[0]: r[1] for r in df.select("content_id", features.one_hot_array(F.col("show_type"), levels)).collect()}
+    arrays = {r[0]: r[1] for r in features.one_hot_arrays(df, "show_type", kept, "hot").collect()}
     rows = {(r["content_id"], r["level"]) for r in features.one_hot_top(df).collect()}
     assert {(c, levels[i]) for c, a in arrays.items() for i, x in enumerate(a) if x} == rows
     assert arrays[11] == [0, 0, 0, 0]
@@ -76,8 +77,8 @@ def test_one_hot_array_and_rows_agree(spark):
 
 @pytest.mark.parametrize("block", [16, 1024])
 def test_knn_with_many_copies(spark, monkeypatch, block):
-    """A third of the vectors are the same one; blocks are small, so many of them meet."""
-    monkeypatch.setattr(similarity, "BLOCK_ROWS", block)
+    """A third of the vectors are the same one; stripes are small, so many of them meet."""
+    monkeypatch.setattr(similarity, "STRIPE_ROWS", block)
     rng = np.random.default_rng(1)
     v = np.vstack([np.ones((60, 5)), rng.integers(0, 3, (60, 5)) * 10.0, rng.random((60, 5)) + 40])
     ids = rng.permutation(1000)[:180]
@@ -96,15 +97,18 @@ def test_knn_with_fewer_vectors_than_neighbors(spark):
     assert similarity.knn(df, 50).count() == 4
 
 
-def test_greedy_slate_by_task_and_by_rounds(spark):
+@pytest.mark.parametrize("stripe", [7, 4096])
+def test_greedy_slates(spark, monkeypatch, stripe):
+    """Against plain loops: a user with all titles, one with few, one without a past, one with nothing left."""
+    monkeypatch.setattr(similarity, "STRIPE_ROWS", stripe)
     rng = np.random.default_rng(3)
     d, k = 4, 5
     v = {c: np.round(rng.normal(size=d), 3) for c in range(40)}
     vectors = spark.createDataFrame([(c, x.tolist()) for c, x in v.items()], "content_id bigint, vector array<double>")
-    past = {u: random.Random(u).sample(range(40), 3 + u) for u in range(4)}
-    cands = {0: list(range(20, 40)), 1: [1, 2, 3], 2: list(range(40)), 3: [7]}
-    past_df = spark.createDataFrame([(u, c) for u in past for c in past[u]], "customer_id bigint, content_id bigint")
-    cand_df = spark.createDataFrame([(u, c) for u in cands for c in cands[u]], "customer_id bigint, content_id bigint")
+    past = {u: random.Random(u).sample(range(40), 3 + u) for u in range(4)} | {4: [], 5: [999]}
+    shared, own = [30, 31, 32], {0: list(range(20, 40)), 1: [1, 2], 2: list(range(40)), 3: [7], 4: [5], 5: [6]}
+    seen = {0: [31], 1: [1, 30, 31, 32, 999], 2: [0], 3: [7, 30, 31, 32]}
+    frame = lambda rows: spark.createDataFrame([(u, c) for u in rows for c in rows[u]], "customer_id bigint, content_id bigint")
 
     class Model:
         coefficients = type("W", (), {"toArray": staticmethod(lambda: rng_weights)})
@@ -112,19 +116,44 @@ def test_greedy_slate_by_task_and_by_rounds(spark):
     rng_weights = rng.normal(size=4 * d)
 
     def pool(items):
-        m = np.stack([v[c] for c in items])
+        m = np.stack([v[c] for c in items if c in v] or [np.zeros(d)])
         return np.r_[m.mean(0), m.max(0)]
 
     want = set()
     for u in past:
         p, slate = pool(past[u]), []
         for pos in range(1, k + 1):
-            left = [c for c in cands[u] if c not in slate]
+            left = [c for c in {*own[u], *shared} - set(seen.get(u, [])) if c not in slate]
             if not left:
                 break
             score = {c: round(float(np.r_[p - pool(slate + [c]), p * pool(slate + [c])] @ rng_weights), 7) for c in left}
             slate.append(min(left, key=lambda c: (-score[c], c)))
             want.add((u, pos, slate[-1]))
-    for bound in (1000, 2):
-        got = slates.greedy_slate(past_df, cand_df, vectors, Model, k, one_task=bound)
-        assert {tuple(r) for r in got.collect()} == want
+    users = spark.createDataFrame([(u,) for u in past], "customer_id bigint")
+    titles = spark.createDataFrame([(c,) for c in shared], "content_id bigint")
+    got = slates.greedy_slates(users, frame(past), titles, frame(own), frame(seen), vectors, Model, k)
+    assert {tuple(r) for r in got.collect()} == want
+
+
+def test_every_title_is_encoded(spark):
+    rng = np.random.default_rng(6)
+    x, w = rng.normal(size=(30, 5)), rng.normal(size=(6, 3))
+    y = np.c_[x, np.ones(30)] @ w
+    vectors = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "content_id bigint, vector array<double>")
+    targets = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(y) if i < 20], "content_id bigint, vector array<double>")
+    got = {r["content_id"]: r["vector"] for r in features.linear_encoder(vectors, targets, ridge=1e-9).collect()}
+    assert len(got) == 30 and np.abs(np.stack([got[i] for i in range(30)]) - y).max() < 1e-5
+
+
+def test_learning_curve(spark):
+    from pyspark.ml.functions import array_to_vector
+
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(400, 3))
+    y = (x @ [2.0, -1.0, 0.5] + rng.normal(size=400) > 0).astype(int)
+    rows = spark.createDataFrame([(r.tolist(), int(t)) for r, t in zip(x, y)], "f array<double>, label int")
+    rows = rows.withColumn("features", array_to_vector("f"))
+    curve = slates.learning_curve(rows.limit(300), rows.limit(100), 8).orderBy("iteration").collect()
+    loss = [r["train_loss"] for r in curve]
+    assert loss[0] == pytest.approx(np.log(2)) and all(a >= b - 1e-9 for a, b in zip(loss, loss[1:])) and curve[-1]["train_accuracy"] > 0.8
+    assert all(0 <= r["validation_accuracy"] <= 1 for r in curve)

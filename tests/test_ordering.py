@@ -59,11 +59,11 @@ def test_positions_do_not_depend_on_partitions(spark, rows):
         spark.conf.set("spark.sql.shuffle.partitions", before)
 
 
-def test_ranked_by_window_and_by_ranges(spark, monkeypatch, rows):
+def test_ranked(rows):
     scores = rows.groupBy("item").agg(F.sum("w").alias("score")).withColumnRenamed("item", "content_id")
-    plain = sorted(map(tuple, ordering.ranked(scores).collect()))
-    monkeypatch.setattr(ordering, "ONE_TASK_ROWS", 5)
-    assert sorted(map(tuple, ordering.ranked(scores).collect())) == plain
+    want = sorted(map(tuple, scores.collect()), key=lambda r: (-r[1], r[0]))
+    got = sorted(ordering.ranked(scores).collect(), key=lambda r: r["rank"])
+    assert [(r["content_id"], r["score"], r["rank"]) for r in got] == [(*r, i) for i, r in enumerate(want, 1)]
 
 
 def test_empty_input(spark):
@@ -106,6 +106,8 @@ def test_coverage_curve(spark):
 
 def test_zero_filled_axis(spark):
     counts = spark.createDataFrame([(2, 7, 3), (5, 7, 1)], "account_id bigint, content_id bigint, n bigint")
-    bounds = spark.createDataFrame([(1, 5)], "lo bigint, hi bigint")
-    got = {r["account_id"]: r["n"] for r in counting.zero_filled_axis(counts, bounds, "account_id").collect()}
-    assert got == {1: 0, 2: 3, 3: 0, 4: 0, 5: 1}
+    ids = spark.createDataFrame([(2,), (5,), (10**15,)], "account_id bigint")
+    got = {r["account_id"]: r["n"] for r in counting.zero_filled_axis(counts, ids, "account_id").collect()}
+    assert got == {2: 3, 5: 1, 10**15: 0}
+    pairs = spark.createDataFrame([(2, 7), (2, 8)], "account_id bigint, content_id bigint")
+    assert {tuple(r) for r in counting.zero_filled_cells(counts, pairs).collect()} == {(2, 7, 3), (2, 8, 0)}

@@ -1,11 +1,18 @@
 """Every registered query against its SQL in DuckDB; those without SQL must return rows."""
 
+import os
+import re
+import subprocess
+import sys
+from pathlib import Path
+
 import pytest
 
 from __spark_entry__ import entry, oracle_sql, queries
+from playtrail import scratch
 from tests.compare import differences, duck
 
-SF = "/root/testdata/sf0.001"
+SF, ROOT = "/root/testdata/sf0.001", Path(__file__).resolve().parents[1]
 ORACLES = oracle_sql()
 
 
@@ -34,21 +41,31 @@ def test_entry(spark):
     assert sum(r["ap"] for r in rows) / len(rows) == pytest.approx(0.468557, abs=1e-6)
 
 
-@pytest.mark.parametrize("name", ["flagship_popularity_ap", "r13_candidates", "e02_map_at_k", "j07_unseen_pairs", "j09_exact_knn"])
+@pytest.mark.parametrize("name", ["flagship_popularity_ap", "r13_candidates", "e02_map_at_k", "j07_unseen_pairs", "j09_exact_knn", "a12_zero_filled_grid"])
 def test_no_cross_join(spark, name):
     plan = queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
-
-
-def test_model_slates(spark):
-    for name in ["r10_model_top_unseen", "r17_greedy_slate", "r13b_all_items_candidates"]:
-        row = queries()[name](spark, SF).first()
-        assert row["bad_slates"] == 0 and row["seen_again"] == 0 and row["users"] > 0
-
-
-def test_models_hold_their_invariants(spark):
-    cosine = {r["label"]: r["mean_cosine"] for r in queries()["r12_item_embedding"](spark, SF).collect()}
-    assert cosine[1] > cosine[0]
-    assert 0.5 < queries()["r16_pair_scorer"](spark, SF).first()["auc"] <= 1
-    losses = [r["loss"] for r in queries()["e09_learning_curve"](spark, SF).orderBy("iteration").collect()]
-    assert losses[-1] < losses[0]
+    assert not re.search(r"Generate explode\(\[\d", plan), "a list of literals is unfolded on every row"
+
+
+def test_workers_get_the_package(tmp_path):
+    """A session started elsewhere, with nothing of the package on the workers' path."""
+    code = f"""
+import sys
+sys.path.insert(0, {str(ROOT)!r})
+from tests.compare import session
+spark = session(cores=2, partitions=2)
+from __spark_entry__ import queries
+print("ROWS", queries()["j09_approximate_knn"](spark, {SF!r}).count())
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
+    assert "ROWS 1" in done.stdout, done.stderr[-2000:]
+
+
+def test_scratch_scope_leaves_nothing(spark):
+    with scratch.scratch_scope(spark):
+        table = scratch.through_table(spark.range(5).toDF("x"), "five")
+        folder = table.inputFiles()[0].rsplit("/", 1)[0].replace("file://", "").replace("file:", "")
+        assert table.count() == 5 and os.path.isdir(folder)
+    assert not os.path.exists(folder)

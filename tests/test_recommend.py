@@ -50,8 +50,9 @@ def test_recommend_popular_equals_brute_force(spark, monkeypatch):
     users = spark.createDataFrame([(u,) for u in seen], "account_id bigint")
     pairs = spark.createDataFrame([(u, c) for u in seen for c in seen[u]], "account_id bigint, content_id bigint")
     want = {(u, i + 1, c) for u in seen for i, c in enumerate([c for c in order if c not in seen[u]][:7])}
-    for head in (recommend.HEAD_RANKS, 10):
+    for head, stretch in ((recommend.HEAD_RANKS, recommend.STRETCH), (10, 5), (3, 1)):
         monkeypatch.setattr(recommend, "HEAD_RANKS", head)
+        monkeypatch.setattr(recommend, "STRETCH", stretch)
         got = {tuple(r) for r in recommend.recommend_popular(ranking, users, pairs, 7).collect()}
         assert got == want
 
@@ -69,13 +70,6 @@ def test_split_is_exact_and_reproducible(spark):
     ).isEmpty()
 
 
-def test_likely_split_is_near_the_share(spark):
-    accounts = spark.range(5000).withColumnRenamed("id", "account_id")
-    n = accounts.where(shaping.likely_test(0.2)).count()
-    assert 900 < n < 1100
-    assert accounts.where(shaping.likely_test(0.2) & ~shaping.likely_test(0.4)).isEmpty()
-
-
 def test_split_of_nothing(spark):
     assert shaping.split_users(spark.createDataFrame([], "account_id bigint")).count() == 0
 
@@ -114,15 +108,28 @@ def test_backfill_keeps_first_places(spark):
     assert none.count() == 2
 
 
-def test_unseen_pairs_refuses_long_lists(spark):
-    users = spark.createDataFrame([(0,)], "account_id bigint")
-    with pytest.raises(ValueError):
-        recommend.unseen_pairs(users, list(range(1001)), slates(spark, [1]))
+def test_candidates_of_many_users(spark):
+    """More users than one list of literals could hold; each gets the shared items and its own, without the seen."""
+    users = spark.range(1500).withColumnRenamed("id", "account_id")
+    past = users.select("account_id", (F.col("account_id") % 7).alias("content_id"))
+    top = spark.createDataFrame([(1,), (2,)], "content_id bigint")
+    new = spark.createDataFrame([(2,), (50,)], "content_id bigint")
+    near = spark.createDataFrame([(3, 60), (1, 61)], "content_id bigint, neighbor_id bigint")
+    got = recommend.candidates(users, past, top, new, near).collect()
+    own = {3: {60}, 1: {61}}
+    want = {(u, c) for u in range(1500) for c in ({1, 2, 50} | own.get(u % 7, set())) - {u % 7}}
+    assert len(got) == len(want) and {tuple(r) for r in got} == want
+
 
+def test_unseen_pairs(spark):
+    pairs = spark.createDataFrame([(0, 1), (0, 2), (0, 2), (5, 1)], "account_id bigint, content_id bigint")
+    seen = spark.createDataFrame([(0, 1), (5, 3)], "account_id bigint, content_id bigint")
+    assert {tuple(r) for r in recommend.unseen_pairs(pairs, seen).collect()} == {(0, 2), (5, 1)}
 
-@pytest.mark.parametrize("block", [7, 1024])
-def test_model_slates_for_heavy_and_light_users(spark, monkeypatch, block):
-    monkeypatch.setattr(similarity, "BLOCK_ROWS", block)
+
+@pytest.mark.parametrize("stripe", [7, 4096])
+def test_model_slates_for_heavy_and_light_users(spark, monkeypatch, stripe):
+    monkeypatch.setattr(similarity, "STRIPE_ROWS", stripe)
     rng = random.Random(8)
     watched = {0: range(55), 1: [3], 2: [], **{u: rng.sample(range(60), 10) for u in range(3, 12)}}
     counts = spark.createDataFrame([(u, c, 1 + (u + c) % 3) for u in watched for c in watched[u]], "account_id bigint, content_id bigint, n bigint")
@@ -141,6 +148,39 @@ def test_model_slates_for_heavy_and_light_users(spark, monkeypatch, block):
         assert [scores[u, c] for c in slate] == pytest.approx(best, abs=1e-5)
 
 
+def test_models_take_any_ids(spark):
+    """Ids beyond 32 bits, and an account without plays that must get a full slate."""
+    big = 3_000_000_000_000
+    rows = [(big + u, -big - c, 1 + (u * c) % 3) for u in range(8) for c in range(12) if (u + c) % 3]
+    counts = spark.createDataFrame(rows, "account_id bigint, content_id bigint, n bigint")
+    users = spark.createDataFrame([(big + u,) for u in range(8)] + [(9,)], "account_id bigint")
+    ranking = spark.createDataFrame([(-big - c, c + 1) for c in range(12)], "content_id bigint, rank bigint")
+    got = factors.final_recommendations(counts, users, ranking, 3, rank=4).collect()
+    seen = {(r[0], r[1]) for r in rows}
+    assert {r["account_id"] for r in got} == {big + u for u in range(8)} | {9} and len(got) == 9 * 3
+    assert not {(r["account_id"], r["content_id"]) for r in got} & seen
+    assert [r["content_id"] for r in sorted(got, key=lambda r: r["pos"]) if r["account_id"] == 9] == [-big, -big - 1, -big - 2]
+
+
+@pytest.mark.parametrize("stripe", [5, 4096])
+def test_catalogue_auc(spark, monkeypatch, stripe):
+    monkeypatch.setattr(similarity, "STRIPE_ROWS", stripe)
+    rng = random.Random(3)
+    u = {i: [rng.randint(-2, 2) * 1.0 for _ in range(3)] for i in range(9)}
+    v = {100 + i: [rng.randint(-2, 2) * 1.0 for _ in range(3)] for i in range(30)}
+    pos = {i: set(rng.sample(sorted(v), 1 + i * 2)) for i in range(8)}
+    users = spark.createDataFrame(list(u.items()), "account_id bigint, vector array<double>")
+    items = spark.createDataFrame(list(v.items()), "content_id bigint, vector array<double>")
+    pairs = spark.createDataFrame([(i, c) for i in pos for c in pos[i]], "account_id bigint, content_id bigint")
+    got = {r["account_id"]: (r["positives"], r["auc"]) for r in similarity.catalogue_auc(users, items, pairs).collect()}
+    score = lambda i, c: sum(a * b for a, b in zip(u[i], v[c]))
+    for i, own in pos.items():
+        other = set(v) - own
+        area = sum((score(i, p) > score(i, n)) + (score(i, p) == score(i, n)) / 2 for p in own for n in other)
+        assert got.pop(i) == (len(own), pytest.approx(area / len(own) / len(other)))
+    assert not got
+
+
 def test_in_period_keeps_or_drops_missing_times(spark):
     from playtrail.functions.columns import in_period
 
