@@ -104,105 +104,120 @@ def _lit_array(values) -> Column:
     return F.array(*[F.lit(float(v)) for v in values])
 
 
-def _times(df: DataFrame, key: str, matrix: np.ndarray) -> DataFrame:
-    """Multiply every row vector by a small matrix."""
+def _times(df: DataFrame, key: str, matrices: dict[str, np.ndarray]) -> DataFrame:
+    """Multiply every row vector by its field's small matrix."""
 
     def apply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            if len(batch):
-                rows = np.stack(batch["vec"].to_numpy()) @ matrix
-                yield pd.DataFrame({key: batch[key], "vec": list(rows)})
+            for field, part in batch.groupby("field", sort=False):
+                rows = np.stack(part["vec"].to_numpy()) @ matrices[field]
+                yield pd.DataFrame({"field": field, key: part[key], "vec": list(rows)})
 
-    return df.select(key, "vec").mapInPandas(apply, f"{key} {dict(df.dtypes)[key]}, vec array<double>")
+    return df.select("field", key, "vec").mapInPandas(apply, f"field string, {key} {dict(df.dtypes)[key]}, vec array<double>")
 
 
-def _gram(df: DataFrame, width: int) -> np.ndarray:
-    """Sum of the outer products of the row vectors: one small matrix per task, added up."""
+def _gram(df: DataFrame, widths: dict[str, int]) -> dict[str, np.ndarray]:
+    """Per field, the sum of the outer products of the row vectors: small matrices per task, added up."""
 
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros((width, width))
+        total: dict[str, np.ndarray] = {}
         for batch in batches:
-            if len(batch):
-                rows = np.stack(batch["vec"].to_numpy())
-                total += rows.T @ rows
-        yield pd.DataFrame({"vec": [total.ravel()]})
+            for field, part in batch.groupby("field", sort=False):
+                rows = np.stack(part["vec"].to_numpy())
+                total[field] = total.get(field, 0) + rows.T @ rows
+        if total:
+            yield pd.DataFrame({"field": list(total), "vec": [t.ravel() for t in total.values()]})
 
-    parts = df.select("vec").mapInPandas(partial, "vec array<double>")
-    summed = parts.agg(Summarizer.sum(array_to_vector("vec")).alias("g")).first()["g"]
-    return np.asarray(summed.toArray()).reshape(width, width)
+    parts = df.select("field", "vec").mapInPandas(partial, "field string, vec array<double>")
+    summed = parts.groupBy("field").agg(Summarizer.sum(array_to_vector("vec")).alias("g")).collect()
+    found = {f: np.zeros((w, w)) for f, w in widths.items()}
+    return found | {r["field"]: np.asarray(r["g"].toArray()).reshape(widths[r["field"]], -1) for r in summed}
 
 
-def _orthonormal(df: DataFrame, key: str, width: int) -> DataFrame:
-    """Orthonormal basis of the column space; directions without weight become zero."""
-    values, vectors = np.linalg.eigh(_gram(df, width))
-    keep = values > max(values.max(), 0) * 1e-13
-    scale = np.where(keep, 1 / np.sqrt(np.where(keep, values, 1)), 0)
-    return _times(df, key, vectors * scale)
+def _orthonormal(df: DataFrame, key: str, widths: dict[str, int]) -> DataFrame:
+    """Orthonormal basis of each field's column space; directions without weight become zero."""
+    matrices = {}
+    for field, gram in _gram(df, widths).items():
+        values, vectors = np.linalg.eigh(gram)
+        keep = values > max(values.max(initial=0), 0) * 1e-13
+        matrices[field] = vectors * np.where(keep, 1 / np.sqrt(np.where(keep, values, 1)), 0)
+    return _times(df, key, matrices)
 
 
 def _apply(entries: DataFrame, side: DataFrame, on: str, to: str) -> DataFrame:
-    """Sparse matrix (rows of ``entries``) times a tall matrix; the sums combine map-side."""
+    """Sparse matrices (rows of ``entries``) times tall matrices; the sums combine map-side."""
     summed = Summarizer.sum(array_to_vector("vec"), F.col("n").cast("double"))
-    product = entries.join(side, on).groupBy(to).agg(summed.alias("v"))
-    return pin(product.select(to, vector_to_array("v").alias("vec")))
+    product = entries.join(side, ["field", on]).groupBy("field", to).agg(summed.alias("v"))
+    return pin(product.select("field", to, vector_to_array("v").alias("vec")))
 
 
-def _gaussian(tokens: DataFrame, width: int, seed: int) -> DataFrame:
+def _gaussian(tokens: DataFrame, widths: dict[str, int], seed: int) -> DataFrame:
     """One random row per token, drawn from hashes of the token and so always the same."""
 
     def uniform(j: Column, salt: int) -> Column:
         return (F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.lit(salt), "token", j), 11).cast("double") + 0.5) / float(2**53)
 
+    width = F.create_map(*[F.lit(x) for item in widths.items() for x in item])[F.col("field")]
     normal = F.transform(
-        F.sequence(F.lit(0), F.lit(width - 1)),
+        F.sequence(F.lit(0), width - 1),
         lambda j: F.sqrt(-2 * F.log(uniform(j, 1))) * F.cos(2 * F.pi() * uniform(j, 2)),
     )
-    return tokens.select("token", normal.alias("vec"))
+    return tokens.select("field", "token", normal.alias("vec"))
 
 
-def truncated_svd(bow: DataFrame, k: int, oversample: int = 10, n_iter: int = 5, seed: int = 117) -> tuple[DataFrame, np.ndarray]:
-    """Uncentred rank-``k`` projection (content_id, vec) of token counts, and the singular values.
+def stacked_svd(bows: DataFrame, ranks: dict[str, int], oversample: int = 10, n_iter: int = 5, seed: int = 117) -> tuple[DataFrame, dict[str, np.ndarray]]:
+    """Uncentred truncated projections (field, content_id, vec) of several fields' token counts, and their singular values.
 
-    Randomized subspace iteration on the sparse long form.  All tall matrices stay
-    distributed; the driver only sees squares of ``k + oversample`` numbers, so neither the
-    number of contents nor the vocabulary is bounded.  The largest loading of each component
-    is positive.  A vocabulary no wider than the sketch needs no iteration to be exact.
+    Randomized subspace iteration on the sparse long form (field, content_id, token, n), all fields in the
+    same jobs.  All tall matrices stay distributed; the driver only sees squares of ``rank + oversample``
+    numbers, so neither the number of contents nor the vocabulary is bounded.  The largest loading of each
+    component is positive.  A vocabulary no wider than the sketch needs no iteration to be exact.
     """
-    entries = pin(bow.select("content_id", "token", "n"))
-    tokens = entries.select("token").distinct()
-    vocabulary = tokens.count()
-    width = min(k + oversample, vocabulary)
-    k = min(k, vocabulary)
-    y = _apply(entries, _gaussian(tokens, width, seed), "token", "content_id")
-    for _ in range(n_iter if width < vocabulary else 0):
-        z = _apply(entries, _orthonormal(y, "content_id", width), "content_id", "token")
-        y = _apply(entries, _orthonormal(z, "token", width), "token", "content_id")
-    q = _orthonormal(y, "content_id", width)
+    entries = pin(bows.select("field", "content_id", "token", "n"))
+    tokens = entries.select("field", "token").distinct()
+    vocabulary = {r["field"]: r["count"] for r in tokens.groupBy("field").count().collect()}
+    widths = {f: min(ranks[f] + oversample, v) for f, v in vocabulary.items()}
+    if not widths:
+        none = entries.select("field", "content_id", F.array().cast("array<double>").alias("vec"))
+        return none, {f: np.zeros(0) for f in ranks}
+    y = _apply(entries, _gaussian(tokens, widths, seed), "token", "content_id")
+    for _ in range(n_iter if any(widths[f] < v for f, v in vocabulary.items()) else 0):
+        z = _apply(entries, _orthonormal(y, "content_id", widths), "content_id", "token")
+        y = _apply(entries, _orthonormal(z, "token", widths), "token", "content_id")
+    q = pin(_orthonormal(y, "content_id", widths))
     b = _apply(entries, q, "content_id", "token")
-    values, rotation = np.linalg.eigh(_gram(b, width))
-    best = np.argsort(values)[::-1][:k]
-    singular = np.sqrt(np.maximum(values[best], 0))
-    rotation = rotation[:, best] * _signs(b, rotation[:, best])
-    return _times(q, "content_id", rotation * singular), singular
+    singular, rotations = {f: np.zeros(0) for f in ranks}, {}
+    for field, gram in _gram(b, widths).items():
+        values, rotation = np.linalg.eigh(gram)
+        best = np.argsort(values)[::-1][: min(ranks[field], vocabulary[field])]
+        singular[field], rotations[field] = np.sqrt(np.maximum(values[best], 0)), rotation[:, best]
+    signs = _signs(b, rotations)
+    return _times(q, "content_id", {f: r * signs[f] * singular[f] for f, r in rotations.items()}), singular
+
+
+def truncated_svd(bow: DataFrame, k: int, oversample: int = 10, n_iter: int = 5, seed: int = 117) -> tuple[DataFrame, np.ndarray]:
+    """:func:`stacked_svd` of one field: (content_id, vec) and the singular values."""
+    projected, singular = stacked_svd(bow.withColumn("field", F.lit("")), {"": k}, oversample, n_iter, seed)
+    return projected.drop("field"), singular[""]
 
 
-def _signs(loadings: DataFrame, rotation: np.ndarray) -> np.ndarray:
+def _signs(loadings: DataFrame, rotations: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
     """+1 or -1 per component, making its largest loading (the first token among equals) positive."""
 
     def extreme(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            if len(batch):
-                rows = np.stack(batch["vec"].to_numpy()) @ rotation
+            for field, part in batch.groupby("field", sort=False):
+                rows = np.stack(part["vec"].to_numpy()) @ rotations[field]
                 at = np.abs(rows).argmax(0)
                 yield pd.DataFrame(
-                    {"c": np.arange(rows.shape[1]), "token": batch["token"].to_numpy()[at], "v": rows[at, np.arange(rows.shape[1])]}
+                    {"field": field, "c": np.arange(rows.shape[1]), "token": part["token"].to_numpy()[at], "v": rows[at, np.arange(rows.shape[1])]}
                 )
 
-    largest = loadings.select("token", "vec").mapInPandas(extreme, "c int, token string, v double")
-    rows = largest.groupBy("c").agg(F.max_by("v", F.struct(F.round(F.abs("v"), 9), "token")).alias("v")).collect()
-    signs = np.ones(rotation.shape[1])
+    largest = loadings.select("field", "token", "vec").mapInPandas(extreme, "field string, c int, token string, v double")
+    rows = largest.groupBy("field", "c").agg(F.max_by("v", F.struct(F.round(F.abs("v"), 9), "token")).alias("v")).collect()
+    signs = {f: np.ones(r.shape[1]) for f, r in rotations.items()}
     for r in rows:
-        signs[r["c"]] = -1.0 if r["v"] < 0 else 1.0
+        signs[r["field"]][r["c"]] = -1.0 if r["v"] < 0 else 1.0
     return signs
 
 
@@ -243,11 +258,14 @@ def item_vectors(catalog: DataFrame, rollup: DataFrame, ranks: dict[str, int], m
     for c, kept in levels.items():
         rows = rows.join(one_hot_arrays(rollup, c, kept, f"_{c}"), "content_id")
     rows = rows.select("content_id", F.concat(*[f"_{c}" for c in levels], "_numbers").alias("vector"))
-    for col, k in ranks.items():
-        projected, singular = truncated_svd(bag_of_words(catalog, col), k, n_iter=n_iter)
+    bags = [bag_of_words(catalog, c).select(F.lit(c).alias("field"), "content_id", "token", "n") for c in ranks]
+    projected, singular = stacked_svd(reduce(DataFrame.unionByName, bags), ranks, n_iter=n_iter)
+    projected = pin(projected)
+    for col in ranks:
         # A content without tokens is a row of zeros and takes part in the scaling.
-        zeros = _lit_array([0.0] * len(singular))
-        filled = rollup.select("content_id").join(projected, "content_id", "left").select(
+        zeros = _lit_array([0.0] * len(singular[col])).cast("array<double>")
+        own = projected.where(F.col("field") == col).select("content_id", "vec")
+        filled = rollup.select("content_id").join(own, "content_id", "left").select(
             "content_id", F.coalesce("vec", zeros).alias("vec")
         )
         rows = rows.join(scale_vector(filled, "vec"), "content_id").select(
@@ -264,15 +282,15 @@ def linear_encoder(vectors: DataFrame, targets: DataFrame, ridge: float = 1e-2)
     """
     known = vectors.join(targets.select("content_id", F.col("vector").alias("_t")), "content_id")
     one = F.array(F.lit(1.0))
-    rows = known.select(F.concat("vector", one, "_t").alias("vec"))
+    rows = known.select(F.lit("").alias("field"), F.concat("vector", one, "_t").alias("vec"))
     sizes = known.select(F.size("vector").alias("n"), F.size("_t").alias("m")).first()
     if sizes is None:
         return vectors.limit(0)
     n = sizes["n"] + 1
-    gram = _gram(rows, n + sizes["m"])
+    gram = _gram(rows, {"": n + sizes["m"]})[""]
     solved = np.linalg.solve(gram[:n, :n] + ridge * np.eye(n), gram[:n, n:])
-    encoded = _times(vectors.select("content_id", F.concat("vector", one).alias("vec")), "content_id", solved)
-    return encoded.withColumnRenamed("vec", "vector")
+    longer = vectors.select(F.lit("").alias("field"), "content_id", F.concat("vector", one).alias("vec"))
+    return _times(longer, "content_id", {"": solved}).select("content_id", F.col("vec").alias("vector"))
 
 
 def model_item_features(vectors: DataFrame, scalars: list[tuple[DataFrame, str]]) -> DataFrame:

@@ -132,6 +132,14 @@ def split_cut(plays: DataFrame, prop: float = 0.2, seed: int = 117, user_col: st
     return None
 
 
+def before_cut(cut: tuple[int, int] | None, seed: int = 117, user_col: str = "account_id", key: Column | None = None) -> Column:
+    """Predicate for rows of the accounts up to a cut of :func:`split_cut`."""
+    key = split_key(seed, user_col) if key is None else key
+    if cut is None:
+        return F.lit(False)
+    return F.col(user_col).isNotNull() & ((key < cut[0]) | ((key == cut[0]) & (F.col(user_col) <= F.lit(cut[1]))))
+
+
 def is_test(plays: DataFrame, prop: float = 0.2, seed: int = 117, user_col: str = "account_id", key: Column | None = None) -> Column:
     """Predicate for plays of test accounts: key order up to the cut.
 
@@ -139,11 +147,7 @@ def is_test(plays: DataFrame, prop: float = 0.2, seed: int = 117, user_col: str
     pass over the accounts.  A stored :func:`split_key` column given as ``key`` is compared as
     it is, which Parquet can do on its own.
     """
-    key = split_key(seed, user_col) if key is None else key
-    cut = split_cut(plays, prop, seed, user_col, key)
-    if cut is None:
-        return F.lit(False)
-    return F.col(user_col).isNotNull() & ((key < cut[0]) | ((key == cut[0]) & (F.col(user_col) <= F.lit(cut[1]))))
+    return before_cut(split_cut(plays, prop, seed, user_col, key), seed, user_col, key)
 
 
 def split_users(plays: DataFrame, prop: float = 0.2, seed: int = 117, user_col: str = "account_id") -> DataFrame:

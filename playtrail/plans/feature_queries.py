@@ -75,20 +75,18 @@ BAGS = "bags AS (" + " UNION ALL ".join([
 )
 def f05(spark, sf_dir):
     """Per token column: contents, rank, whether singular values fall, and whether they hold a share of the energy."""
-    rows = []
-    for col, k in RANKS.items():
-        bow = pin(features.bag_of_words(catalog(spark, sf_dir), col))
-        projected, singular = features.truncated_svd(bow, k)
-        energy = bow.agg(F.sum(F.col("n") * F.col("n"))).scalar()
-        square = F.aggregate("vec", F.lit(0.0), lambda acc, x: acc + x * x)
-        falling = all(a >= b - 1e-9 for a, b in zip(singular, singular[1:]))
-        rows.append(
-            projected.agg(F.count(F.lit(1)).alias("contents"), F.sum(square).alias("kept")).select(
-                F.lit(col).alias("field"), "contents", F.lit(len(singular)).alias("rank"),
-                F.lit(falling).alias("falling"), ((F.col("kept") / energy).between(0.01, 1 + 1e-9)).alias("within"),
-            )
-        )
-    return rows[0].unionByName(rows[1]).unionByName(rows[2])
+    bows = pin(f04(spark, sf_dir))
+    projected, singular = features.stacked_svd(bows, RANKS)
+    energy = bows.groupBy("field").agg(F.sum(F.col("n") * F.col("n")).alias("energy"))
+    square = F.aggregate("vec", F.lit(0.0), lambda acc, x: acc + x * x)
+    known = [(f, len(v), all(a >= b - 1e-9 for a, b in zip(v, v[1:]))) for f, v in singular.items()]
+    return (
+        projected.groupBy("field")
+        .agg(F.count(F.lit(1)).alias("contents"), F.sum(square).alias("kept"))
+        .join(energy, "field")
+        .join(spark.createDataFrame(known, "field string, rank int, falling boolean"), "field")
+        .select("field", "contents", "rank", "falling", (F.col("kept") / F.col("energy")).between(0.01, 1 + 1e-9).alias("within"))
+    )
 
 
 @query(
@@ -99,11 +97,12 @@ def f05(spark, sf_dir):
 )
 def f06(spark, sf_dir):
     """Variance of the three token columns, and whether the components explain a share of it."""
-    rows, out = catalog(spark, sf_dir), []
-    n_items = shaping.distinct_ids(rows, "content_id").count()
-    for col, k in RANKS.items():
-        bow = pin(features.bag_of_words(rows, col))
-        projected, _ = features.truncated_svd(bow, k)
+    out, bows = [], pin(f04(spark, sf_dir))
+    n_items = shaping.distinct_ids(catalog(spark, sf_dir), "content_id").count()
+    every, _ = features.stacked_svd(bows, RANKS)
+    every = pin(every)
+    for col in RANKS:
+        bow, projected = (df.where(F.col("field") == col).drop("field") for df in (bows, every))
         explained = features.explained_variance(bow, projected, n_items)
         out.append(
             explained.agg(F.count(F.lit(1)).cast("int").alias("components"), F.sum("ratio").alias("share")).select(
