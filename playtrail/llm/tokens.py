@@ -9,10 +9,13 @@ from __future__ import annotations
 
 import re
 from itertools import chain, islice
+from struct import pack
 
 #: A run of letters followed by marks, with an optional space in front; both classes are plain, so
 #: that the cut between them does not depend on a version of the Unicode tables.
 _CORE = re.compile(r"( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)([.,!?;:$%&*#|]+)")
+_LETTERS = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+")
+_MARKS = ".,!?;:$%&*#|"
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 
 #: Characters of text handled at a time.
@@ -26,6 +29,11 @@ def public_vocabulary(name: str = "byte_bpe_50k.json") -> str:
     return f"public:{name}"
 
 
+def _visible(s: str) -> bool:
+    """Whether a string neither is empty nor begins or ends with white space."""
+    return bool(s) and not s[0].isspace() and not s[-1].isspace()
+
+
 def encoder(vocabulary: str, remembered: int = 400_000) -> Encoder:
     """This worker's encoder; kept between tasks."""
     key = (vocabulary, remembered)
@@ -47,9 +55,9 @@ class Encoder:
             path = public_tokenizers.path(vocabulary.removeprefix("public:"))
         self.tokenizer = Tokenizer.from_file(path)
         self.remembered = remembered
-        self.atoms: dict[str, bytes] = {}
-        self.first: dict[str, bytes] = {}  # units as they stand
-        self.rest: dict[str, bytes] = {}  # units that follow a space
+        self.first: dict[str, bytes] = {}  # ids of strings as they stand
+        self.rest: dict[str, bytes] = {}  # ids of visible strings with a space in front, which the key leaves out
+        self.odd: dict[str, bytes] = {}  # ids of strings with white space at an end
 
     def encode(self, texts: list[str]) -> list[bytes]:
         found: list[bytes] = []
@@ -64,37 +72,75 @@ class Encoder:
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         split = [t.split(" ") for t in texts]
-        for i, units in enumerate(split):
-            # Where white space stands side by side, only some of the spaces are certain cuts.
-            if len(units) > 1 and (not units[0] or units[0][-1].isspace()):
-                split[i] = _CUT.split(texts[i])
-        self._learn({u[0] for u in split}, self.first, "")
-        new = set(chain.from_iterable(u[1:] for u in split)) - self.rest.keys()
-        self._learn({u for u in new if u and not u[0].isspace() and not u[-1].isspace()}, self.rest, " ")
+        self._learn({u[0] for u in split}.difference(self.first))
+        self._learn_words(set(chain.from_iterable(u[1:] for u in split)).difference(self.rest))
         out = []
         for text, units in zip(texts, split, strict=True):
-            try:
-                out.append(b"".join([self.first[units[0]], *map(self.rest.__getitem__, units[1:])]))
-            except KeyError:
-                units = _CUT.split(text)
-                self._learn({units[0]}, self.first, "")
-                self._learn(set(units[1:]), self.rest, " ")
-                out.append(b"".join([self.first[units[0]], *map(self.rest.__getitem__, units[1:])]))
-        for memory in (self.first, self.rest, self.atoms):
-            for k in list(islice(reversed(memory), max(0, len(memory) - self.remembered))):
+            # Where white space stands side by side, only some of the spaces are certain cuts.
+            if len(units) == 1 or _visible(units[0][-1:]):
+                try:
+                    out.append(b"".join([self.first[units[0]], *map(self.rest.__getitem__, units[1:])]))
+                    continue
+                except KeyError:
+                    pass
+            pieces = _CUT.split(text)
+            pieces[1:] = [" " + p for p in pieces[1:]]
+            self._learn(set(pieces))
+            out.append(b"".join(map(self._known, pieces)))
+        for memory, most in ((self.rest, self.remembered), (self.first, self.remembered // 4), (self.odd, self.remembered // 4)):
+            for k in list(islice(reversed(memory), max(0, len(memory) - most))):
                 del memory[k]
         return out
 
-    def _learn(self, units: set[str], known: dict[str, bytes], lead: str) -> None:
-        cut = {u: self._cut(lead + u) for u in units if u not in known}
-        new = list({a for atoms in cut.values() for a in atoms} - self.atoms.keys())
-        if new:
-            import numpy as np
-
-            for a, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                self.atoms[a] = np.array(e.ids, dtype="<u4").tobytes()
-        for u, atoms in cut.items():
-            known[u] = b"".join(map(self.atoms.__getitem__, atoms))
+    def _learn_words(self, words: set[str]) -> None:
+        """Remember strings that follow a space: plain words and words with marks here, all else by :meth:`_learn`."""
+        plain, marked, other = [], [], []
+        rest = self.rest
+        for w in words:
+            core = w.rstrip(_MARKS)
+            if core.isalpha() and (core.isascii() or _LETTERS.fullmatch(core)):
+                if len(core) == len(w):
+                    plain.append(w)
+                else:
+                    marked.append((w, core))
+                    if core not in rest and core not in words:
+                        plain.append(core)
+            elif _visible(w):
+                other.append(" " + w)
+        plain = list(dict.fromkeys(plain))
+        found = self.tokenizer.encode_batch_fast([" " + w for w in plain], add_special_tokens=False)
+        for w, e in zip(plain, found, strict=True):
+            rest[w] = pack(f"<{len(e)}I", *e.ids)
+        marks = {w[len(core) :] for w, core in marked}
+        self._learn({*other, *marks.difference(self.first)})
+        first = self.first
+        for w, core in marked:
+            rest[w] = rest[core] + first[w[len(core) :]]
+
+    def _place(self, s: str) -> tuple[dict[str, bytes], str]:
+        if s[:1] != " ":
+            return self.first, s
+        return (self.rest, s[1:]) if _visible(s[1:]) else (self.odd, s)
+
+    def _known(self, s: str) -> bytes:
+        memory, key = self._place(s)
+        return memory[key]
+
+    def _learn(self, wanted: set[str]) -> None:
+        """Remember the ids of strings that stand between certain cuts."""
+        cut = {s: self._cut(s) for s in wanted}
+        new = []
+        for atom in set(chain.from_iterable(cut.values())):
+            memory, key = self._place(atom)
+            if key not in memory:
+                new.append((atom, memory, key))
+        found = self.tokenizer.encode_batch_fast([a for a, _, _ in new], add_special_tokens=False)
+        for (_, memory, key), e in zip(new, found, strict=True):
+            memory[key] = pack(f"<{len(e)}I", *e.ids)
+        for s, atoms in cut.items():
+            if len(atoms) != 1 or atoms[0] != s:
+                memory, key = self._place(s)
+                memory[key] = b"".join(map(self._known, atoms))
 
     @staticmethod
     def _cut(s: str) -> list[str]:

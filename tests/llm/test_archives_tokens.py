@@ -78,15 +78,19 @@ def test_keys(url, key):
     assert capture_index.capture_key(url) == key
 
 
-def test_encoder_matches_the_library():
+@pytest.mark.parametrize("remembered", [3, 500, 10**6])
+def test_encoder_matches_the_library(remembered):
     rng = random.Random(4)
     texts = [r[1] or "" for r in odd_documents() if len(r[1] or "") < 10_000]
     alphabet = ["a", "B", "é", "ß", "中", "🙂", " ", "  ", "\n", "\t", "\x1c", "\x85", "\xa0", "　", "'s", "'", "'LL", ".", ",", "!!", "$$$", "1", "½", "_", "-", "the", " dog", "\r\n", "<|endoftext|>", "́", "’"]
     texts += ["".join(rng.choices(alphabet, k=rng.randint(0, 30))) for _ in range(3000)]
-    encode = tokens.Encoder(tokens.public_vocabulary(), 500)
+    # The same unit at a text's end, before a space, and before another white space.
+    texts += [f"a {u}{end}" for u in ("the\n", "the", "\n", "the\t", "x,") for end in ("", " dog", "  dog", "\ndog", " \n dog")]
+    rng.shuffle(texts)
+    encode = tokens.Encoder(tokens.public_vocabulary(), remembered)
     for _ in range(2):
         got = encode.encode(texts)
-        assert all(len(m) <= 500 for m in (encode.first, encode.rest, encode.atoms))
+        assert all(len(m) <= remembered for m in (encode.first, encode.rest, encode.odd))
     for text, ids in zip(texts, got, strict=True):
         assert np.frombuffer(ids, "<u4").tolist() == token_ids(text)[:-1], repr(text)
 
