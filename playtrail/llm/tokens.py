@@ -11,6 +11,8 @@ import re
 from itertools import chain, islice
 from struct import pack
 
+import numpy as np
+
 #: A run of letters followed by marks, with an optional space in front; both classes are plain, so
 #: that the cut between them does not depend on a version of the Unicode tables.
 _CORE = re.compile(r"( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)([.,!?;:$%&*#|]+)")
@@ -18,8 +20,11 @@ _LETTERS = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+")
 _MARKS = ".,!?;:$%&*#|"
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 
-#: Characters of text handled at a time.
-CHARS = 1_000_000
+#: Characters of text, and new words, handled at a time.
+CHARS, WORDS = 1_000_000, 10_000
+
+#: Words that a worker remembers: some 200 bytes each.
+REMEMBERED = 1_000_000
 
 _ENCODERS: dict[tuple[str, int], Encoder] = {}
 
@@ -34,8 +39,10 @@ def _visible(s: str) -> bool:
     return bool(s) and not s[0].isspace() and not s[-1].isspace()
 
 
-def encoder(vocabulary: str, remembered: int = 400_000) -> Encoder:
-    """This worker's encoder; kept between tasks."""
+def encoder(vocabulary: str, remembered: int = REMEMBERED, keep: bool = True) -> Encoder:
+    """This worker's encoder, kept between tasks, or one for this task alone that starts without words."""
+    if not keep:
+        return Encoder(vocabulary, remembered)
     key = (vocabulary, remembered)
     if key not in _ENCODERS:
         _ENCODERS[key] = Encoder(vocabulary, remembered)
@@ -55,6 +62,7 @@ class Encoder:
             path = public_tokenizers.path(vocabulary.removeprefix("public:"))
         self.tokenizer = Tokenizer.from_file(path)
         self.remembered = remembered
+        (self.line_feed,) = self.tokenizer.encode("\n", add_special_tokens=False).ids
         self.first: dict[str, bytes] = {}  # ids of strings as they stand
         self.rest: dict[str, bytes] = {}  # ids of visible strings with a space in front, which the key leaves out
         self.odd: dict[str, bytes] = {}  # ids of strings with white space at an end
@@ -73,13 +81,14 @@ class Encoder:
     def _encode(self, texts: list[str]) -> list[bytes]:
         split = [t.split(" ") for t in texts]
         self._learn({u[0] for u in split}.difference(self.first))
-        self._learn_words(set(chain.from_iterable(u[1:] for u in split)).difference(self.rest))
+        # First units count as well here: that costs a few words and saves a copy of every list.
+        self._learn_words(set().union(*split).difference(self.rest))
         out = []
         for text, units in zip(texts, split, strict=True):
             # Where white space stands side by side, only some of the spaces are certain cuts.
             if len(units) == 1 or _visible(units[0][-1:]):
                 try:
-                    out.append(b"".join([self.first[units[0]], *map(self.rest.__getitem__, units[1:])]))
+                    out.append(self.first[units[0]] + b"".join(map(self.rest.__getitem__, islice(units, 1, None))))
                     continue
                 except KeyError:
                     pass
@@ -108,9 +117,14 @@ class Encoder:
             elif _visible(w):
                 other.append(" " + w)
         plain = list(dict.fromkeys(plain))
-        found = self.tokenizer.encode_batch_fast([" " + w for w in plain], add_special_tokens=False)
-        for w, e in zip(plain, found, strict=True):
-            rest[w] = pack(f"<{len(e)}I", *e.ids)
+        # All in one text: a line feed between two words is always a token of its own, and no word has one.
+        for lo in range(0, len(plain), WORDS):
+            some = plain[lo : lo + WORDS]
+            found = self.tokenizer.encode_batch_fast([" " + "\n ".join(some)], add_special_tokens=False)[0]
+            ids = np.array(found.ids, "<u4")
+            data, cuts = ids.tobytes(), (np.flatnonzero(ids == self.line_feed) * 4).tolist()
+            starts = [0, *(c + 4 for c in cuts)]
+            rest.update(zip(some, [data[a:b] for a, b in zip(starts, [*cuts, len(data)], strict=True)], strict=True))
         marks = {w[len(core) :] for w, core in marked}
         self._learn({*other, *marks.difference(self.first)})
         first = self.first
