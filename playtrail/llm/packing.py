@@ -25,6 +25,8 @@ from playtrail.scratch import through_table
 
 CAPACITY = 1024
 END_ID = 2
+#: Words that an encoder remembers which lives for one task.
+TASK_WORDS = 200_000
 
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 SLOTS = "length bigint, lo bigint, hi bigint, first_sequence bigint, per_sequence bigint, base bigint"
@@ -36,17 +38,19 @@ def pieces_of(
     vocabulary: str | None = None,
     end_id: int = END_ID,
     keep_ids: bool = False,
+    keep_encoder: bool = True,
 ) -> DataFrame:
     """Token pieces of whole texts: (doc_id, piece, start, length, ids_crc32[, ids]).
 
     Reads ``doc_id`` and ``text``; a null text is empty.  Every document ends with ``end_id``.  Documents longer than
     ``capacity`` are cut into pieces of that length, the first one shorter if the length leaves a rest.
+    With ``keep_encoder`` workers keep the words they have met for their next tasks, which saves time and takes memory.
     """
     vocabulary = vocabulary or public_vocabulary()
     end = struct.pack("<I", end_id)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(vocabulary).encode
+        encode = (encoder(vocabulary) if keep_encoder else encoder(vocabulary, TASK_WORDS, keep=False)).encode
         for b in batches:
             for lo in range(0, len(b), 256):
                 part = b.slice(lo, 256)
@@ -173,9 +177,12 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     )
 
 
-def pack_documents(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str | None = None, end_id: int = END_ID) -> DataFrame:
+def pack_documents(
+    docs: DataFrame, capacity: int = CAPACITY, vocabulary: str | None = None, end_id: int = END_ID, keep_encoder: bool = True
+) -> DataFrame:
     """Cut and pack all documents: the columns of ``pieces_of`` with sequence_id and offset."""
-    return pack(through_table(pieces_of(docs, capacity, vocabulary, end_id), "pieces"), capacity)
+    pieces = pieces_of(docs, capacity, vocabulary, end_id, keep_encoder=keep_encoder)
+    return pack(through_table(pieces, "pieces"), capacity)
 
 
 def sequences(packed: DataFrame) -> DataFrame:

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from playtrail.llm.common import prepare
 from playtrail.llm import capture_index, compression, embedding_dedup, language, mixing, packing, sharding, simhash, token_store, weak_labels
-from playtrail.shipping import ship
+
 
 QUERIES, ORACLES = {}, {}
 
@@ -13,7 +14,7 @@ QUERIES, ORACLES = {}, {}
 def query(name: str, oracle: str | None = None):
     def register(fn):
         def run(spark, sf_dir):
-            ship(spark)
+            prepare(spark)
             return fn(lambda table: spark.read.parquet(f"{sf_dir}/{table}.parquet"))
 
         QUERIES[name] = run
