@@ -184,7 +184,8 @@ def one_of_each(docs: DataFrame, **parameters) -> DataFrame:
     ids = through_table(found.groupBy("doc_id").agg(rows, F.bool_or(chosen).alias("kept")).where("kept"), "kept")
     me, n = fresh(docs, "_kept_id", "_n")
     names = ids.select(F.col("doc_id").alias(me), F.col("n").alias(n))
-    own = docs.join(names, F.col("doc_id").eqNullSafe(F.col(me)))
+    # By shuffle at every size: a broadcast that fits a small table would not fit a large one.
+    own = docs.join(names.hint("merge"), F.col("doc_id").eqNullSafe(F.col(me)))
     if ids.where("n > 1").isEmpty():
         return own.select(*docs.columns)
     single = own.where(F.col(n) == 1).select(*docs.columns)
