@@ -12,7 +12,7 @@ pairs; a cell with more than ``block`` fingerprints is dealt out as pairs of blo
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations_with_replacement
 
 import numpy as np
@@ -34,23 +34,29 @@ SHINGLES = 1 << 16
 
 def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> int:
     """SimHash of the whole text, as an unsigned number; 0 without words."""
+    ones, n = np.zeros(64, np.int64), 0
+    for hashed in word_hashes(text, shingle, seed):
+        bits = np.unpackbits(np.array(hashed, "<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        ones += bits.sum(axis=0, dtype=np.int64)
+        n += len(hashed)
+    on = np.flatnonzero(2 * ones > n)
+    return int(sum(1 << int(i) for i in on))
+
+
+def word_hashes(text: str | None, shingle: int, seed: int = SEED) -> Iterator[list[int]]:
+    """Hashes of the text's shingles in order, some at a time; a text with fewer words is one shingle, nothing without words."""
     from xxhash import xxh64_intdigest
 
     words = (text or "").encode().lower().split()  # bytes: A-Z only, and exactly the six ASCII white spaces
     if not words:
-        return 0
+        return
     joined = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     k = min(shingle, len(words))
     stops = ends[k - 1 :].tolist()
     starts = [0, *(ends[: len(words) - k] + 1).tolist()]
-    ones = np.zeros(64, np.int64)
     for lo in range(0, len(starts), SHINGLES):
-        hashed = [xxh64_intdigest(joined[s:e], seed) for s, e in zip(starts[lo : lo + SHINGLES], stops[lo : lo + SHINGLES], strict=True)]
-        bits = np.unpackbits(np.array(hashed, "<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        ones += bits.sum(axis=0, dtype=np.int64)
-    on = np.flatnonzero(2 * ones > len(starts))
-    return int(sum(1 << int(i) for i in on))
+        yield [xxh64_intdigest(joined[s:e], seed) for s, e in zip(starts[lo : lo + SHINGLES], stops[lo : lo + SHINGLES], strict=True)]
 
 
 def with_fingerprints(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
@@ -178,7 +184,13 @@ def one_of_each(docs: DataFrame, **parameters) -> DataFrame:
 
     Where several rows of a group carry that id (or the group has no id at all), one of them stays.
     """
-    found = simhash_components(docs, **parameters)
+    shingle, seed = parameters.get("shingle", SHINGLE), parameters.get("seed", SEED)
+    name = lambda text: int(np.uint64(fingerprint(text, shingle, seed)).view(np.int64))
+    return keep_first(docs, simhash_components(docs, **parameters), name)
+
+
+def keep_first(docs: DataFrame, found: DataFrame, name: Callable[[str | None], int]) -> DataFrame:
+    """The rows of ``docs`` that ``one_of_each`` keeps; ``found`` has (doc_id, fp, component_fp, component_id), ``name`` makes fp from a text."""
     chosen = F.col("doc_id").eqNullSafe(F.col("component_id"))
     rows = F.count(F.lit(1)).alias("n")
     ids = through_table(found.groupBy("doc_id").agg(rows, F.bool_or(chosen).alias("kept")).where("kept"), "kept")
@@ -190,16 +202,16 @@ def one_of_each(docs: DataFrame, **parameters) -> DataFrame:
         return own.select(*docs.columns)
     single = own.where(F.col(n) == 1).select(*docs.columns)
     repeated = own.where(F.col(n) > 1).select(*docs.columns)
-    return single.unionByName(_first_of_repeated(repeated, found.where(chosen)))
+    return single.unionByName(_first_of_repeated(repeated, found.where(chosen), name))
 
 
-def _first_of_repeated(rows: DataFrame, chosen: DataFrame) -> DataFrame:
+def _first_of_repeated(rows: DataFrame, chosen: DataFrame, name: Callable[[str | None], int]) -> DataFrame:
     """One row per group among rows whose ids stand on several rows, told apart by their fingerprints."""
 
     @F.pandas_udf("bigint")
     def fingerprints(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for t in texts:
-            yield pd.Series(np.array([fingerprint(x) for x in t], np.uint64).view(np.int64))
+            yield pd.Series([name(x) for x in t], dtype="int64")
 
     fp, near, group, owner = fresh(rows, "_fp", "_near", "_group", "_owner")
     classes = chosen.select(F.col("fp").alias(near), F.col("component_fp").alias(group), F.col("doc_id").alias(owner)).distinct()
