@@ -4,10 +4,12 @@ Every source gets a target in words.  A document's expected number of copies is
 target over its source's size: the whole part is taken for certain, and the fraction is the
 inclusion probability of one more copy.  That copy is drawn by Pareto order sampling: documents
 are ranked by their random odds ``u / (1 - u)`` divided by their inclusion odds ``p / (1 - p)``,
-and the first ones are taken until the words still due are reached.
+and those that fit the words still due are taken in that order: one that would overflow them is
+passed over.  When none fits any more, the document that comes nearest to what is due is added, if that helps.
 
-Only numbers are shuffled: a source's ranking is cut at one value, found by distributed running
-totals (a hot source is spread over many tasks), and the cut is a predicate on the documents.
+Only numbers are shuffled: a source's ranking is cut where running totals overflow, found distributed
+(a hot source is spread over many tasks), then the later documents that still fit are ranked again, until
+none does.  What is taken is a predicate on the documents, with one condition for each turn.
 """
 
 from __future__ import annotations
@@ -21,10 +23,10 @@ from playtrail.scratch import through_table
 
 #: Weights of the sources in code-point order, repeating.
 WEIGHTS = (3, 1, 2)
-#: Documents added to a source after the cut: the longest that fits what is still due, the last time the nearest.
-FINISHING = 3
 
 _NO_ID = -(2**63)
+_PLACE = "struct<q:double,id:bigint,size:bigint>"
+_TURN = f"struct<after:{_PLACE},upto:{_PLACE},most:double>"
 
 
 def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = 1.5, max_copies: int = 2) -> DataFrame:
@@ -79,13 +81,15 @@ def _odds(p: Column) -> Column:
     return F.when((p > 0) & (p < 1), p / (1 - p))
 
 
-def sampling_plan(light: DataFrame, targets: DataFrame, seed: int = 11, finishing: int = FINISHING) -> DataFrame:
-    """What each source takes: whole copies, the cut of its ranking and the documents that finish it.
+def sampling_plan(light: DataFrame, targets: DataFrame, seed: int = 11, finishing: bool = True) -> DataFrame:
+    """What each source takes: whole copies, the cut of its ranking and what is taken after it.
 
     ``light`` has (source, doc_id, size[, odds]); equal rows share their fate.  ``odds`` multiplies
     a document's inclusion odds (1 where null or absent), which makes probabilities unequal
-    within a source as well.  After the cut, up to ``finishing`` documents are added: the longest one that
-    fits the words still due, and the last time the one that comes nearest to them.
+    within a source as well.  The cut is where the ranking first overflows what is due.  With ``finishing``, the document
+    there is passed over and those after it that fit what is still due follow in their order, turn by turn until
+    none fits; ``turns`` has each turn's ranks and greatest words.  At last ``extra`` is the document
+    that comes nearest to what is due, if it brings the source nearer to it.
     """
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     plan = targets.withColumn("copies", F.floor(ratio).cast("bigint")).withColumn("p", ratio - F.floor(ratio))
@@ -100,43 +104,68 @@ def sampling_plan(light: DataFrame, targets: DataFrame, seed: int = 11, finishin
         (F.col("size") * F.col("n")).alias("words"),
         pareto_rank(F.col("doc_id"), F.col("p"), F.col("odds"), seed).alias("q"),
     )
-    order = [F.asc("q"), F.asc("id"), F.asc("size")]
-    reached = through_table(positions(drawn, order, keys=["source_no"], sums={"reached": "words"}), "mix_ranking")
-    due = plan.select("source_no", (F.col("target") - F.col("copies") * F.col("source_size")).alias("due"))
-    within = reached.join(due, "source_no").where("reached <= due")
-    cut = within.groupBy("source_no").agg(
-        F.max(F.struct("q", "id", "size")).alias("cut"), F.max("reached").alias("taken_words")
-    )
+    order, me = [F.asc("q"), F.asc("id"), F.asc("size")], F.struct("q", "id", "size")
+    due = F.col("target") - F.col("copies") * F.col("source_size")
     state = through_table(
-        plan.join(due, "source_no")
-        .join(cut, "source_no", "left")
-        .withColumn("gap", F.col("due") - F.coalesce("taken_words", F.lit(0)))
-        .withColumn("extra", F.expr("cast(array() as array<struct<q:double,id:bigint,size:bigint>>)"))
-        .drop("taken_words"),
+        plan.withColumn("gap", due)
+        .withColumn("cut", F.lit(None).cast(_PLACE))
+        .withColumn("passed", F.lit(None).cast(_PLACE))
+        .withColumn("turns", F.expr(f"cast(array() as array<{_TURN}>)"))
+        .withColumn("extra", F.lit(None).cast(_PLACE)),
         "mix_state",
     )
-    for turn in range(finishing):
-        me = F.struct("q", "id", "size")
-        open_ = reached.join(
-            state.where("gap > 0").select("source_no", "cut", "extra", "gap"), "source_no"
-        ).where((F.col("cut").isNull() | (me > F.col("cut"))) & ~F.array_contains("extra", me))
-        miss = F.abs(F.col("words") - F.col("gap"))
-        nearest = (
-            open_.where("words > 0 and words <= gap" if turn < finishing - 1 else miss < F.col("gap"))
+    left = drawn
+    while True:
+        # What one source has left is what lies behind the document passed over and fits.
+        reached = through_table(positions(left, order, keys=["source_no"], sums={"reached": "words"}), "mix_ranking")
+        ranking = reached if left is drawn else ranking
+        ends = (
+            reached.join(state.select("source_no", "gap"), "source_no")
+            .withColumn("fits", F.col("reached") <= F.col("gap"))
             .groupBy("source_no")
-            .agg(F.min_by(F.struct(me.alias("one"), "words"), F.struct(miss, "q", "id", "size")).alias("add"))
+            .agg(
+                F.max(F.when(F.col("fits"), me)).alias("upto"),
+                F.max(F.when(F.col("fits"), F.col("reached"))).alias("words"),
+                F.min(F.when(~F.col("fits"), me)).alias("over"),
+            )
         )
+        first = left is drawn
+        turn = F.struct(F.col("passed").alias("after"), "upto", F.col("gap").alias("most"))
         state = through_table(
-            state.join(nearest, "source_no", "left")
-            .withColumn("gap", F.col("gap") - F.coalesce("add.words", F.lit(0)))
-            .withColumn(
-                "extra",
-                F.when(F.col("add").isNull(), F.col("extra")).otherwise(F.concat("extra", F.array("add.one"))),
-            )
-            .drop("add"),
+            state.join(ends, "source_no", "left")
+            .withColumn("cut", F.col("upto") if first else F.col("cut"))
+            .withColumn("turns", F.col("turns") if first else F.when(F.col("upto").isNull(), F.col("turns")).otherwise(F.concat("turns", F.array(turn))))
+            .withColumn("gap", F.col("gap") - F.coalesce("words", F.lit(0)))
+            .withColumn("passed", F.col("over"))
+            .drop("upto", "words", "over"),
             "mix_state",
         )
-    return state
+        if not finishing:
+            return state
+        passed = state.where("gap > 0 and passed is not null").select("source_no", "passed", "gap")
+        left = (
+            reached.drop("reached").join(passed, "source_no")
+            .where((me > F.col("passed")) & (F.col("words") > 0) & (F.col("words") <= F.col("gap")))
+            .select(*drawn.columns)
+        )
+        if left.isEmpty():
+            break
+    miss = F.abs(F.col("words") - F.col("gap"))
+    nearest = (
+        ranking.join(state.where("gap > 0").select("source_no", "cut", "turns", "gap"), "source_no")
+        .where(~_taken(me, F.col("words"), F.col("cut"), F.col("turns")) & (miss < F.col("gap")))
+        .groupBy("source_no")
+        .agg(F.min_by(me, F.struct(miss, "q", "id", "size")).alias("add"))
+    )
+    return through_table(
+        state.join(nearest, "source_no", "left").withColumn("extra", F.col("add")).drop("add", "passed"), "mix_state"
+    )
+
+
+def _taken(me: Column, words: Column, cut: Column, turns: Column) -> Column:
+    """Whether a place of the ranking is before the cut or was taken in a later turn."""
+    later = F.exists(turns, lambda t: (me > t["after"]) & (me <= t["upto"]) & (words > 0) & (words <= t["most"]))
+    return F.coalesce(me <= cut, F.lit(False)) | later
 
 
 def pareto_rank(doc_id: Column, p: Column, odds: Column, seed: int) -> Column:
@@ -144,10 +173,10 @@ def pareto_rank(doc_id: Column, p: Column, odds: Column, seed: int) -> Column:
     return _odds(unit(seed, doc_id)) / (_odds(p) * F.coalesce(odds, F.lit(1.0)))
 
 
-def copies_taken(plan_p: Column, copies: Column, cut: Column, extra: Column, rank: Column, doc_id: Column, size: Column) -> Column:
-    """Copies of a document under its source's plan."""
+def copies_taken(plan_p: Column, copies: Column, cut: Column, turns: Column, extra: Column, rank: Column, doc_id: Column, size: Column, words: Column) -> Column:
+    """Copies of a document under its source's plan; ``words`` counts those of its repeated rows too."""
     me = F.struct(rank.alias("q"), F.coalesce(doc_id, F.lit(_NO_ID)).alias("id"), size.alias("size"))
-    more = (plan_p > 0) & (F.coalesce(me <= cut, F.lit(False)) | F.array_contains(extra, me))
+    more = (plan_p > 0) & (_taken(me, words, cut, turns) | F.coalesce(me == extra, F.lit(False)))
     return copies + F.when(more, 1).otherwise(0)
 
 
@@ -173,7 +202,7 @@ def mix_sources(
     plan = sampling_plan(light, source_targets(light, weights, share, max_copies), seed)
     names = ["size", "source_size", "target", "copies", "taken"]
     out = dict(zip(names, fresh(docs, *names), strict=True))
-    src, p, cut, extra, no, due, gap = fresh(docs, "_src", "_p", "_cut", "_extra", "_no", "_due", "_gap")
+    src, p, cut, turns, extra, n = fresh(docs, "_src", "_p", "_cut", "_turns", "_extra", "_n")
     per_source = plan.select(
         F.col("source").alias(src),
         F.col("source_size").alias(out["source_size"]),
@@ -181,22 +210,36 @@ def mix_sources(
         F.col("copies").alias(out["copies"]),
         F.col("p").alias(p),
         F.col("cut").alias(cut),
+        F.col("turns").alias(turns),
         F.col("extra").alias(extra),
     )
     size = F.col(out["size"])
     rank = pareto_rank(F.col("doc_id"), F.col(p), given, seed)
+    taken = copies_taken(
+        F.col(p), F.col(out["copies"]), F.col(cut), F.col(turns), F.col(extra), rank, F.col("doc_id"), size, size * F.col(n)
+    )
     joined = (
-        docs.withColumn(out["size"], word_count(F.col("text")))
+        _with_repeats(docs.withColumn(out["size"], word_count(F.col("text"))), out["size"], light, given, n)
         .join(per_source, F.col("source").eqNullSafe(F.col(src)))
-        .withColumn(
-            out["copies"], copies_taken(F.col(p), F.col(out["copies"]), F.col(cut), F.col(extra), rank, F.col("doc_id"), size)
-        )
+        .withColumn(out["copies"], taken)
         .withColumn(out["taken"], F.col(out["copies"]) * size)
-        .drop(src, p, cut, extra)
+        .drop(src, p, cut, turns, extra, n)
     )
     return joined, out
 
 
+def _with_repeats(docs: DataFrame, size: str, light: DataFrame, odds: Column, n: str) -> DataFrame:
+    """How many rows share a row's draw; joined only if some do."""
+    counted = light.groupBy("source", "doc_id", "size", "odds").agg(F.count(F.lit(1)).alias("n"))
+    repeated = through_table(counted.where("n > 1"), "mix_repeats")
+    if repeated.isEmpty():
+        return docs.withColumn(n, F.lit(1))
+    s, d, z, o, times = fresh(docs, "_s", "_d", "_z", "_o", "_times")
+    known = repeated.toDF(s, d, z, o, times)
+    same = F.col("source").eqNullSafe(F.col(s)) & F.col("doc_id").eqNullSafe(F.col(d)) & (F.col(size) == F.col(z)) & odds.eqNullSafe(F.col(o))
+    return docs.join(known, same, "left").withColumn(n, F.coalesce(times, F.lit(1))).drop(s, d, z, o, times)
+
+
 def mixed_documents(docs: DataFrame, **parameters) -> DataFrame:
     """The documents of the mix, each as often as it is taken, with the columns of ``docs``."""
     mixed, names = mix_sources(docs, **parameters)

@@ -145,3 +145,34 @@ def test_written_shards(spark, tmp_path):
 def test_sharding_runs_no_python(spark):
     plan = queries.QUERIES["op2_feistel_shards"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+def first_fit(ranked, due):
+    """Ids taken in order, passing over what overflows, and the nearest one at last; ``ranked`` has (id, words)."""
+    taken = []
+    for i, w in ranked:
+        if w <= due:
+            due -= w
+            taken.append(i)
+    rest = [(abs(w - due), k, i) for k, (i, w) in enumerate(ranked) if i not in set(taken)]
+    return set(taken) | {i for m, _, i in sorted(rest)[:1] if m < due}
+
+
+@pytest.mark.parametrize(("long", "repeats"), [([100_000], 1), ([20_000] * 3, 1), ([30_000, 700, 90], 2)])
+def test_long_documents_are_passed_over(spark, long, repeats):
+    sizes = [100 + i * 37 % 200 for i in range(300)] + long
+    rows = [(i, " ".join(["w"] * n), "en", "a", n) for i, n in enumerate(sizes) for _ in range(repeats)]
+    rows += [(10_000 + i, " ".join(["w"] * 100), "en", "b", 100) for i in range(5)]
+    docs = spark.createDataFrame(rows, DOCS)
+    mixed, names = mixing.mix_sources(docs, weights=(1, 0.0001), share=0.5)
+    out = [r for r in mixed.collect() if r["source"] == "a"]
+    target, copies = out[0][names["target"]], {r["doc_id"]: r[names["copies"]] for r in out}
+    assert len(out) == len(sizes) * repeats
+    p = target / sum(sizes) / repeats
+    assert 0 < p < 1
+    light = spark.createDataFrame(list(enumerate(sizes)), "doc_id bigint, size bigint")
+    q = mixing.pareto_rank(F.col("doc_id"), F.lit(p), F.lit(None).cast("double"), 11)
+    ranked = [(r["doc_id"], r["size"] * repeats) for r in light.orderBy(q).collect()]
+    assert {d for d, c in copies.items() if c} == first_fit(ranked, target)
+    miss = abs(sum(r[names["taken"]] for r in out) - target)
+    assert miss <= min(sizes[d] for d, c in copies.items() if not c) * repeats / 2
