@@ -3,7 +3,7 @@
 The ratio of a text's UTF-8 bytes to its zstandard frame grows with the text's length, so the limits
 depend on it: they are given at some lengths and interpolated on the logarithm between them.  The
 whole text is measured, and every fixed chunk of it, so that a repetitive or random passage shows in a
-long document as well.
+long document as well: by its share of the chunks, or by its length.
 """
 
 from __future__ import annotations
@@ -18,22 +18,25 @@ from pyspark.sql import functions as F
 
 from playtrail.llm.common import fresh
 
-#: (bytes, least ratio, greatest ratio); below the first length nothing is judged.  The least is what random letters
-#: or hexadecimal digits reach, the greatest leaves room above plain prose of that length.
+#: (bytes, least ratio, greatest ratio); below the first length nothing is judged.  The least is above what base64 and
+#: letters mixed with digits reach from 256 bytes on, and above random lower-case words of 3 to 9 letters from 1 KB on; random
+#: hexadecimal words (1.9) stay inside.  The greatest leaves room above plain prose of that length.
 BANDS = (
-    (128, 0.90, 2.10),
-    (256, 1.05, 2.30),
-    (512, 1.15, 2.50),
-    (1024, 1.25, 2.70),
-    (2048, 1.30, 2.90),
-    (4096, 1.35, 3.10),
-    (16384, 1.40, 3.60),
-    (65536, 1.40, 4.20),
-    (1048576, 1.40, 5.00),
+    (128, 0.98, 2.10),
+    (256, 1.15, 2.30),
+    (512, 1.39, 2.50),
+    (1024, 1.64, 2.70),
+    (2048, 1.69, 2.90),
+    (4096, 1.72, 3.10),
+    (16384, 1.76, 3.60),
+    (65536, 1.78, 4.20),
+    (1048576, 1.78, 5.00),
 )
 CHUNK = 4096
 #: Greatest share of a document's chunks outside their band.
 BAD_CHUNKS = 0.25
+#: So many chunks outside their band in a row reject a document of any length.
+BAD_RUN = 2
 LEVEL = 3
 
 MIN_WORDS, MAX_REPEATED_PERCENT, WINDOW = 20, 30, 8
@@ -94,7 +97,7 @@ def _outside(data: bytes, compress, bands) -> tuple[float | None, bool]:
 
 
 def measure(text: str | None, compress, bands=BANDS, chunk: int = CHUNK) -> tuple:
-    """The values of ``COLUMNS`` and whether the whole text is outside its band."""
+    """The values of ``COLUMNS`` and whether the whole text or a run of chunks is outside its band."""
     text = text or ""
     data = text.encode()
     words = data.split()
@@ -103,7 +106,8 @@ def measure(text: str | None, compress, bands=BANDS, chunk: int = CHUNK) -> tupl
     # The last chunk takes the rest, so that no short one stands alone.
     starts = range(0, max(chunk, len(data) - chunk + 1), chunk)
     chunks = [data[a:b] for a, b in zip(starts, chain(starts[1:], [len(data)]), strict=True)]
-    bad_chunks = sum(_outside(c, compress, bands)[1] for c in chunks)
+    outside = [_outside(c, compress, bands)[1] for c in chunks]
+    run = any(all(outside[i : i + BAD_RUN]) for i in range(len(outside) - BAD_RUN + 1))
     return (
         len(words),
         len(text) - sum(map(text.count, SPACES)),
@@ -112,8 +116,8 @@ def measure(text: str | None, compress, bands=BANDS, chunk: int = CHUNK) -> tupl
         repeated_words(words),
         ratio,
         len(chunks),
-        bad_chunks,
-        bad,
+        sum(outside),
+        bad or run,
     )
 
 

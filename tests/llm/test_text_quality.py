@@ -1,10 +1,13 @@
 """Compression bands, language ID and the weak-label model."""
 
+import base64
 import os
+import string
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 import zstandard
 from pyspark.sql import functions as F
@@ -75,6 +78,36 @@ def test_bands_reject_repetition_and_noise():
     assert not outside(mixed) and outside(mixed[:8000] + "same again " * 1500)
 
 
+@pytest.mark.parametrize("size", [1024, 2048, 4096, 8192, 20_000, 100_000])
+@pytest.mark.parametrize("letters", [string.ascii_lowercase, string.ascii_letters + string.digits, string.ascii_letters + string.digits + "+/"])
+def test_bands_reject_kinds_of_noise(letters, size):
+    press = zstandard.ZstdCompressor(level=3).compress
+    rng = np.random.default_rng(size)
+    noise = " ".join("".join(rng.choice(list(letters), rng.integers(3, 10))) for _ in range(size // 4))[:size]
+    assert compression.measure(noise, press)[8]
+
+
+def test_bands_keep_labelled_prose():
+    docs = pq.read_table(f"{SF.replace('0.001', '0.01')}/documents.parquet", columns=["doc_id", "text"]).to_pylist()
+    good = {r["doc_id"] for r in pq.read_table(f"{SF.replace('0.001', '0.01')}/labels.parquet").to_pylist() if r["quality"] == 1}
+    press = zstandard.ZstdCompressor(level=3).compress
+    found = [compression.measure(r["text"], press) for r in docs if r["doc_id"] in good]
+    assert len(found) > 100 and sum(m[8] or m[7] > 0.25 * m[6] for m in found) <= 0.002 * len(found)
+
+
+def test_a_long_passage_rejects_a_long_document():
+    """A tenth of the chunks, but 16 KB in a row."""
+    press = zstandard.ZstdCompressor(level=3).compress
+    docs = pq.read_table(f"{SF.replace('0.001', '0.01')}/documents.parquet", columns=["text"]).column(0).to_pylist()
+    prose = " ".join(dict.fromkeys(t for t in docs if t and len(t) > 500))[:160_000]
+    noise = base64.b64encode(np.random.default_rng(4).bytes(12_000)).decode()
+    for passage in (noise, "same again " * 1500):
+        m = compression.measure(prose[:80_000] + passage + prose[80_000:], press)
+        assert m[8] and m[7] <= 0.25 * m[6]
+    assert not compression.measure(prose, press)[8]
+    assert not compression.measure(prose[:80_000] + noise[:3000] + prose[80_000:], press)[8]
+
+
 def test_language_held_out_accuracy(spark):
     sf = SF.replace("0.001", "0.01")
     told = {r["doc_id"]: r for r in queries.QUERIES["op7_string_kernel_language"](spark, sf).collect()}
