@@ -11,7 +11,8 @@ fitted on a bounded sample.
 
 from __future__ import annotations
 
-from collections import Counter
+import sys
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -30,49 +31,71 @@ KEEP = 0.3
 
 RULES = ("symbols", "plain_words", "lettered", "capitals", "lower_words", "lines", "vocabulary", "neighbours", "sentences", "word_length")
 _MARKS = "#*$%&|<>"
-_ENDS = (".", "!", "?", ":", '"', "…")
+_ENDS = (".", "!", "?", ":", '"', "…", "。", "！", "？", "：", "।", "॥", "؟", "۔", "”", "»", "」", "』", "።", "။", "។")
+
+_LOWER, _UPPER, _DIGIT, _OTHER, _PUNCTUATION, _SIGN = 1, 2, 3, 4, 5, 6
 
 
 def _classes() -> np.ndarray:
-    """Kind of each byte: letters of lower and upper case, digits, bytes of other letters; the rest by itself."""
-    kind = np.arange(256, dtype=np.uint32) + 8
-    for i in range(128):
-        c = chr(i)
-        if c.isalnum():
-            kind[i] = _LOWER if c.islower() else _UPPER if c.isupper() else _DIGIT
-    kind[128:] = _OTHER
+    """Kind of each code point: letters with case, digits, letters (and their marks) without; other ASCII characters by themselves."""
+    by_category = {"Ll": _LOWER, "Lu": _UPPER, "Lt": _UPPER, "L": _OTHER, "M": _OTHER, "N": _DIGIT, "P": _PUNCTUATION}
+    kind = np.full(sys.maxunicode + 1, _SIGN, np.uint8)
+    for i in range(len(kind)):
+        name = unicodedata.category(chr(i))
+        kind[i] = by_category.get(name) or by_category.get(name[0], _SIGN)
+    ascii_ = np.arange(128)
+    kind[:128] = np.where(np.isin(kind[:128], (_LOWER, _UPPER, _DIGIT)), kind[:128], ascii_ + 8)
     return kind
 
 
-_LOWER, _UPPER, _DIGIT, _OTHER = 1, 2, 3, 4
 _KIND = _classes()
-_SPACE = np.isin(np.arange(256), list(b" \t\n\x0b\x0c\r"))
-_STOP = np.isin(np.arange(256), list(b".,;:!?\"')"))
+_STOP = _KIND == _PUNCTUATION
+_STOP[list(b".,;:!?\"')")] = True
+#: Letters of scripts that put no space between words: Thai to Myanmar, Khmer, ideographs and kana.
+_UNSPACED = np.zeros(sys.maxunicode + 1, bool)
+for _lo, _hi in ((0x0E00, 0x109F), (0x1780, 0x17FF), (0x1950, 0x19DF), (0x1A20, 0x1AAF), (0x2E80, 0x312F), (0x31A0, 0xA4CF), (0xF900, 0xFAFF), (0xFF66, 0xFF9F), (0x16FE0, 0x18DFF), (0x1B000, 0x1B2FF), (0x20000, 0x3FFFF)):
+    _UNSPACED[_lo : _hi + 1] = True
+_UNSPACED &= _KIND == _OTHER
+_SPACE = np.isin(np.arange(sys.maxunicode + 1), list(b" \t\n\x0b\x0c\r"))
 _MARK_KINDS = [ord(m) + 8 for m in _MARKS]
 
 
+def _upto(flags: np.ndarray) -> np.ndarray:
+    """How many hold before each place, and in all."""
+    return np.concatenate([[0], np.cumsum(flags)])
+
+
 def facts(text: str | None) -> tuple | None:
-    """What the rules and the features look at, of the whole text; None without words.  The last one is the bytes' kinds."""
+    """What the rules and the features look at, of the whole text; None without words.  The last one is the characters' kinds.
+
+    Case is judged on words with letters that have case, or without any letters, and lengths on words of scripts that
+    put spaces between words; the numbers of these words stand before the kinds.
+    """
     text = text or ""
-    data = text.encode("utf-8", "replace")
-    words = data.split()
+    words = text.encode("utf-8", "replace").split()
     n = len(words)
     if not n:
         return None
-    raw = np.frombuffer(data, np.uint8)
+    raw = np.frombuffer(text.encode("utf-32-le", "replace"), "<u4")
     kinds = _KIND[raw]
     count = np.bincount(kinds, minlength=264)
     letters = int(count[_LOWER] + count[_UPPER])
     lines = [x for x in map(str.strip, text.split("\n")) if x]
-    # Words by their first and last byte.
+    # Words by their first and last character.
     inside = np.concatenate([[False], ~_SPACE[raw], [False]])
     edge = np.flatnonzero(inside[1:] != inside[:-1])
     first, last = edge[::2], edge[1::2] - 1
-    sound = kinds <= _OTHER
     before = last - (_STOP[raw[last]] & (last > first))
-    lower, any_letter = np.concatenate([[0], np.cumsum(kinds == _LOWER)]), np.concatenate([[0], np.cumsum(sound & (kinds != _DIGIT))])
-    lettered = any_letter[last + 1] > any_letter[first]
+    lower, cased, other = _upto(kinds == _LOWER), _upto(kinds <= _UPPER), _upto(kinds == _OTHER)
+    has_case, has_other = cased[last + 1] > cased[first], other[last + 1] > other[first]
+    lettered = has_case | has_other
     lowered = lower[last + 1] > lower[first]
+    judged = n - int((has_other & ~has_case).sum())
+    if count[_OTHER]:
+        unspaced = _upto(_UNSPACED[raw])
+        spaced = unspaced[last + 1] == unspaced[first]
+    else:
+        spaced = np.ones(n, bool)
     return (
         n,
         float(count[_MARK_KINDS].sum()) / n,
@@ -83,10 +106,12 @@ def facts(text: str | None) -> tuple | None:
         len(set(words)) / n,
         sum(map(bytes.__eq__, words[1:], words)) / max(1, n - 1),
         sum(x.endswith(_ENDS) for x in lines) / max(1, len(lines)),
-        sum(map(len, words)) / n,
-        float(sound[before].sum()) / n,
+        float((last + 1 - first)[spaced].sum()) / max(1, int(spaced.sum())),
+        float((kinds[before] <= _OTHER).sum()) / n,
         float(lettered.sum()) / n,
-        float(lowered.sum()) / max(1, int(lettered.sum())),
+        float(lowered.sum()) / max(1, int(has_case.sum())),
+        judged,
+        int(spaced.sum()),
         kinds,
     )
 
@@ -95,7 +120,7 @@ def votes(f: tuple | None) -> str:
     """One character per rule: g, b or - (no vote)."""
     if f is None:
         return "-" * len(RULES)
-    n, symbols, capitals, letters, doubled, n_lines, kinds, same, ended, length, plain, lettered, lowered, _ = f
+    n, symbols, capitals, letters, doubled, n_lines, kinds, same, ended, length, plain, lettered, lowered, judged, spaced, _ = f
 
     def vote(asked: bool, bad: bool, good: bool) -> str:
         return "-" if not asked else "b" if bad else "g" if good else "-"
@@ -106,12 +131,12 @@ def votes(f: tuple | None) -> str:
             vote(n >= 12, plain < 0.8, plain > 0.93),
             vote(n >= 12, lettered < 0.85, lettered > 0.95),
             vote(letters >= 30, capitals > 0.3, capitals < 0.15),
-            vote(n >= 8, lowered < 0.6, lowered > 0.85),
+            vote(judged >= 8, lowered < 0.6, lowered > 0.85),
             vote(n_lines >= 3, doubled > 0.3, doubled < 0.1),
             vote(n >= 40, kinds < 0.35, kinds > 0.5),
             vote(n >= 20, same > 0.15, same < 0.05),
             vote(n >= 20, ended < 0.3, ended > 0.7),
-            vote(n >= 20, not 2 <= length <= 13, 3 <= length <= 11),
+            vote(spaced >= 20, not 2 <= length <= 13, 3 <= length <= 11),
         )
     )
 
@@ -162,10 +187,10 @@ def estimate(counts: dict[str, int], rounds: int = 200) -> LabelModel:
 
 
 def features(f: tuple | None, buckets: int = BUCKETS) -> tuple[np.ndarray, np.ndarray]:
-    """Hashed features of a text's facts, scaled to length 1: kinds of bytes in runs of 3 to 5, and levels of the shares."""
+    """Hashed features of a text's facts, scaled to length 1: kinds of characters in runs of 3 to 5, and levels of the shares."""
     if f is None:
         return np.zeros(0, np.int32), np.zeros(0, np.float32)
-    k = f[-1]
+    k = f[-1].astype(np.uint32)
     total = np.zeros(buckets)
     h = k
     with np.errstate(over="ignore"):
@@ -177,6 +202,10 @@ def features(f: tuple | None, buckets: int = BUCKETS) -> tuple[np.ndarray, np.nd
                 total += np.bincount(((h + np.uint32(n)) * np.uint32(0x9E3779B1)) >> np.uint32(20), minlength=buckets)[:buckets]
     share = np.sqrt(total / max(1, total.sum()))
     levels = [min(9, int(x * 10)) for x in (f[1], f[2], f[4], f[6], f[7], f[8], f[9] / 20, *f[10:13])]
+    # What a script has no case or no spaces for says nothing.
+    levels[1] = levels[1] if f[3] or not f[11] else -1
+    levels[9] = levels[9] if f[13] or not f[11] else -1
+    levels[6] = levels[6] if f[14] else -1
     for i, level in enumerate(levels):
         share[(i * 7919 + level * 104_729 + 13) % buckets] += 0.5
     at = np.flatnonzero(share)

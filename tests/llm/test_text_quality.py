@@ -179,3 +179,44 @@ def test_quality_of_odd_rows(spark):
     assert sum(r["score"] == 0.0 for r in rows) == sum(r[1] in wordless for r in odd_documents())
     assert weak_labels.classify(docs.limit(0)).count() == 0
     assert not words(None) and os.path.isdir(SF)
+
+
+WORDS = {
+    "ru": "и в не на он что как это все она так его но да ты к у же вы за бы по только ее мне было вот от меня еще нет о из ему теперь когда даже ну вдруг ли если уже или быть был него до вас опять вам сказал ведь там потом себя ничего может они тут где есть надо людей который время город река дорога",
+    "el": "και το να του η της με που την από για τα είναι των σε ο οι στο θα τη στην τον τους δεν τις ένα μια ότι ή στα αυτό αλλά όταν πόλη δρόμος θάλασσα άνθρωπος χρόνος νερό βιβλίο παιδί σπίτι ημέρα νύχτα ήλιος φως γλώσσα ιστορία",
+    "ar": "في من على إلى أن هذا التي الذي كان عن مع هذه ما لا بعد كل بين قبل حيث عند ذلك أو وقد كما لم يكن مدينة طريق نهر بحر كتاب بيت يوم ليل شمس نور لغة تاريخ رجل امرأة طفل ماء سماء أرض",
+    "hi": "के में की है और से का को पर यह इस एक ने हैं लिए भी कर नहीं तो ही या हो था वह अपने जो तक कुछ बाद जब साथ दिन रात सूरज पानी शहर नदी रास्ता किताब घर बच्चा भाषा इतिहास लोग समय बहुत",
+    "zh": "我们 今天 去 城市 河流 旁边 看到 很多 人 在 读书 他们 说 这个 故事 非常 有趣 然后 大家 一起 回家 吃饭 喝茶 晚上 月亮 很 圆 孩子 问 老师 历史 语言 时间 问题 答案 学习 工作 生活",
+}
+
+
+def prose_of(script, rng):
+    """Sentences on lines of their own; Chinese without spaces but between some clauses."""
+    own, (comma, stop) = WORDS[script].split(), {"zh": ("，", "。"), "ar": ("،", "."), "hi": (",", "।")}.get(script, (",", "."))
+    lines = []
+    for _ in range(rng.integers(4, 7)):  # short, as the vocabularies are
+        clauses = [list(rng.choice(own, rng.integers(4, 9))) for _ in range(rng.integers(1, 3))]
+        clauses[0][0] = clauses[0][0].capitalize()
+        lines.append((comma + " ").join(("" if script == "zh" else " ").join(c) for c in clauses) + stop)
+    return "\n".join(lines)
+
+
+def test_quality_of_clean_texts_in_other_scripts(spark):
+    """A few percent of clean prose in scripts with other letters, without case, without spaces."""
+    rng = np.random.default_rng(12)
+    docs = spark.read.parquet(f"{SF.replace('0.001', '0.01')}/documents.parquet").select("doc_id", "text")
+    n = docs.count() * 4 // 100 // len(WORDS)
+    clean = [(-1 - 10 * i - k, prose_of(s, rng)) for i in range(n) for k, s in enumerate(WORDS)]
+    spam = [(-100_000 - i, " ".join(["#КУПИ$ $$$ *** 77 #КУПИ$ ###"] * 12)) for i in range(n)]
+    told = weak_labels.classify(docs.unionByName(spark.createDataFrame(clean + spam, "doc_id bigint, text string"))).where("doc_id < 0").collect()
+    assert len(told) == (len(WORDS) + 1) * n and n >= 5
+    good = [r for r in told if r["doc_id"] > -100_000]
+    assert all("b" not in r["votes"] and r["label"] > 0.5 for r in good)
+    assert np.mean([r["kept"] for r in good]) > 0.98
+    assert not any(r["kept"] for r in told if r["doc_id"] <= -100_000)
+
+
+def test_facts_of_plain_ascii_are_as_before():
+    f = weak_labels.facts("The Quick brown fox, 12 times. 中文没有空格 Ünïcödé")
+    assert f[0] == 8 and f[13] == 7 and f[14] == 7
+    assert f[12] == pytest.approx(6 / 6) and f[9] == pytest.approx((3 + 5 + 5 + 4 + 2 + 6 + 7) / 7)
