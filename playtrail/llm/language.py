@@ -23,10 +23,8 @@ SPECTRUM = 4
 #: n-grams are hashed into 2^HASH_BITS buckets.
 HASH_BITS = 17
 LANDMARKS = 128
-#: The model is fitted on at most so many texts, as many of each language, drawn by the hash of their ids.
+#: The model is fitted on at most so many texts, as many of each language and one at least, drawn by the hash of their ids.
 TRAIN_ROWS = 2000
-#: The most frequent languages that are learned.
-MOST_LANGUAGES = 200
 RIDGE = 1e-3
 UNKNOWN = "und"
 
@@ -132,18 +130,17 @@ def remainder(doc_id: Column) -> Column:
 def train(docs: DataFrame, rows: int = TRAIN_ROWS, landmarks: int = LANDMARKS, spectrum: int = SPECTRUM, bits: int = HASH_BITS) -> Model:
     """Learn from text and lang of documents that are not held out.
 
-    The sample is bounded: at most ``rows`` ids, as many for each of the ``MOST_LANGUAGES`` most frequent
-    languages, chosen by the hash of the id.  Null languages, null ids and texts without letters teach nothing.
+    The sample is bounded: at most ``rows`` ids, as many for each language and at least one, chosen by the
+    hash of the id.  Every language is learned that has a text to learn from.  Null languages, null ids and texts without letters teach nothing.
     """
     taught = docs.where((remainder(F.col("doc_id")) != 0) & F.col("lang").isNotNull())
-    sizes = taught.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
-    languages = [r["lang"] for r in sizes.orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).collect()]
+    languages = taught.select("lang").distinct().count()
     if not languages:
         return fit([], landmarks, spectrum=spectrum, bits=bits)
-    each = max(1, rows // len(languages))
+    each = max(1, rows // languages)
     from playtrail.operators.ordering import top_k
 
-    ids = taught.where(F.col("lang").isin(languages)).select("lang", "doc_id").distinct()
+    ids = taught.select("lang", "doc_id").distinct()
     drawn = top_k(ids, ["lang"], [F.xxhash64("doc_id"), F.col("doc_id")], each, "_place").select("lang", "doc_id")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -220,3 +220,18 @@ def test_facts_of_plain_ascii_are_as_before():
     f = weak_labels.facts("The Quick brown fox, 12 times. 中文没有空格 Ünïcödé")
     assert f[0] == 8 and f[13] == 7 and f[14] == 7
     assert f[12] == pytest.approx(6 / 6) and f[9] == pytest.approx((3 + 5 + 5 + 4 + 2 + 6 + 7) / 7)
+
+
+def test_every_language_is_learned(spark):
+    """More labels than any list of the most frequent ones would have; the rare ones have five texts."""
+    rng = np.random.default_rng(6)
+    rows = []
+    for k in range(250):
+        own = ["".join(rng.choice(list(string.ascii_lowercase), rng.integers(2, 7))) for _ in range(30)]
+        rows += [(f"l{k:03d}", " ".join(rng.choice(own, 60))) for _ in range(5 if k >= 20 else 10)]
+    docs = spark.createDataFrame([(i, t, lang) for i, (lang, t) in enumerate(rows)], "doc_id bigint, text string, lang string")
+    model = language.train(docs)
+    taught = {lang for i, (lang, _) in enumerate(rows) if zlib.crc32(str(i).encode()) % 5}
+    assert model.languages == sorted(taught) and len(taught) == 250
+    told = language.predict(model, [t for _, t in rows])
+    assert np.mean([got == lang for (got, _), (lang, _) in zip(told, rows, strict=True)]) > 0.95
