@@ -200,6 +200,19 @@ def knn(vectors: DataFrame, k: int = 50, probes: int | None = None) -> DataFrame
     return top_k(found, ["content_id"], [F.asc("distance"), F.asc("neighbor_id")], k, name="rn")
 
 
+def probes_for(vectors: DataFrame, exact: DataFrame, k: int = 50, recall: float = 0.9) -> tuple[int, int]:
+    """The least power of two of probes that finds a share ``recall`` of the pairs of ``exact``, and how many pairs it finds.
+
+    No number of probes serves tables of all sizes, so it is doubled until the share is reached.
+    """
+    wanted, probes = recall * exact.count(), 1
+    while True:
+        hits = exact.join(knn(vectors, k, probes), ["content_id", "neighbor_id"], "left_semi").count()
+        if hits >= wanted or probes >= MAX_BLOCKS:
+            return probes, hits
+        probes *= 2
+
+
 def stripes_for(n: int, df: DataFrame) -> int:
     """Stripes of at most ``STRIPE_ROWS`` rows, and enough of them to give all tasks something to do."""
     return max(1, -(-n // STRIPE_ROWS), min(math.isqrt(_parts(df)), -(-n // STEP)))

@@ -157,3 +157,15 @@ def test_learning_curve(spark):
     loss = [r["train_loss"] for r in curve]
     assert loss[0] == pytest.approx(np.log(2)) and all(a >= b - 1e-9 for a, b in zip(loss, loss[1:])) and curve[-1]["train_accuracy"] > 0.8
     assert all(0 <= r["validation_accuracy"] <= 1 for r in curve)
+
+
+def test_probes_reach_the_recall(spark):
+    rng = np.random.default_rng(8)
+    rows = [(i, v.tolist()) for i, v in enumerate(rng.normal(size=(4000, 8)))]
+    vectors = spark.createDataFrame(rows, "content_id bigint, vector array<double>")
+    exact = similarity.knn(vectors, 10).cache()
+    hits = lambda probes: exact.join(similarity.knn(vectors, 10, probes), ["content_id", "neighbor_id"], "left_semi").count()
+    assert exact.count() == 40_000 and hits(1) < 0.9 * 40_000
+    probes, found = similarity.probes_for(vectors, exact, 10)
+    # Blocks are cut by sampled ranges, so another index of the same vectors finds a few pairs more or less.
+    assert probes > 1 and found >= 0.9 * 40_000 and abs(hits(probes) - found) < 0.05 * 40_000
