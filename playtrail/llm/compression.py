@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from playtrail.llm.common import fresh
 
 #: (bytes, least ratio, greatest ratio); below the first length nothing is judged.  The least is above what base64 and
-#: letters mixed with digits reach from 256 bytes on, and above random lower-case words of 3 to 9 letters from 1 KB on; random
+#: letters of both cases mixed with digits reach from 256 bytes on, and above random lower-case words of 3 to 9 letters from 1 KB on; random
 #: hexadecimal words (1.9) stay inside.  The greatest leaves room above plain prose of that length.
 BANDS = (
     (128, 0.98, 2.10),
