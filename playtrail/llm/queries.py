@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from playtrail.llm.common import prepare
-from playtrail.llm import capture_index, compression, embedding_dedup, language, mixing, packing, sharding, simhash, token_store, weak_labels
+from playtrail.llm import capture_index, compression, embedding_dedup, language, mixing, packing, pieces, sharding, simhash, token_store, weak_labels
 
 
 QUERIES, ORACLES = {}, {}
@@ -84,3 +84,13 @@ def op9(table):
 @query("op10_best_two_fit")
 def op10(table):
     return packing.pack_documents(table("documents"))
+
+
+@query("op11_piece_round_trip")
+def op11(table):
+    encoded, ids = pieces.encode_documents(table("documents"), keep=["doc_id"])
+    back, text = pieces.decode_documents(encoded, ids)
+    return back.select(
+        "doc_id", F.size(ids).cast("bigint").alias("n_tokens"),
+        F.sha2(F.array_join(ids, " "), 256).alias("ids_sha256"), F.sha2(text, 256).alias("decoded_sha256"),
+    )
