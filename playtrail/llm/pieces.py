@@ -148,14 +148,17 @@ class PieceModel:
         across = any(SPACE in p.lstrip(SPACE) for p in normal)
         self.cuts = not across
         self.lines = not any("\n" in p for p in normal)
-        # A long run of spaces is cut where the library's merges from the left end, if runs of every length
-        # up to the longest are pieces of one rank above all others and no piece has two spaces and more.
+        # Runs of spaces are pieces of one rank behind all others and no piece has two spaces and more: then a run is
+        # merged from the left after all else, and may be cut behind the longest such piece if every run begins with it.
         runs = [p for p in normal if len(p) > 1 and not p.strip(SPACE)]
-        most = max(map(len, runs), default=0)
-        last = {int(self.rank[normal[p]]) for p in runs}
-        even = len(runs) == most - 1 and last == {int(self.rank[[normal[p] for p in normal if len(p) > 1]].max())}
+        most, last = max(map(len, runs), default=0), int(self.rank[[i for p, i in normal.items() if len(p) > 1]].max())
+        behind = {int(self.rank[normal[p]]) for p in runs} == {last}
         alone = not any(p.startswith(SPACE * 2) and p.strip(SPACE) for p in normal)
-        self.run = most if runs and even and alone and not across else 0
+        self.run = 0
+        if runs and behind and alone and self.cuts:
+            of = {n: self.merged(self.symbols(SPACE * n), np.array([n]))[0].tolist() for n in range(1, 3 * most + 1)}
+            if all(of[n] == [normal[SPACE * most], *of[n - most]] for n in range(most + 1, 3 * most + 1)):
+                self.run = most
 
     def words(self, line: str) -> list[str]:
         """Parts of a line whose spaces are U+2581 already; they can be encoded one by one."""
