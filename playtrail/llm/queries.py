@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from playtrail.llm.common import prepare
-from playtrail.llm import capture_index, compression, embedding_dedup, language, mixing, packing, pieces, sharding, simhash, token_store, weak_labels
+from playtrail.llm import capture_index, compression, embedding_dedup, language, merkle, mixing, packing, pieces, sharding, simhash, token_store, weak_labels, whitening
 
 
 QUERIES, ORACLES = {}, {}
@@ -94,3 +94,21 @@ def op11(table):
         "doc_id", F.size(ids).cast("bigint").alias("n_tokens"),
         F.sha2(F.array_join(ids, " "), 256).alias("ids_sha256"), F.sha2(text, 256).alias("decoded_sha256"),
     )
+
+
+@query("op12_merkle_manifest")
+def op12(table):
+    docs = table("documents")
+    capitals = F.translate(docs["text"], "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    touched = F.crc32(docs["doc_id"].cast("string").cast("binary")) % 5 == 0
+    found = merkle.manifest(docs, ["doc_id", "source", "lang", "n_chars", "text"], tampered={"text": capitals}, where=touched)
+    return found.select("doc_id", "leaf", "subroot", "root", F.sha2("siblings", 256).alias("proof_sha256"), "folded_root", "verified")
+
+
+@query("op13_embedding_whitening")
+def op13(table):
+    rows, model, error = whitening.whiten(table("embeddings"), "vec_id", "embedding")
+    long = whitening.by_component(rows, model, error, "vec_id")
+    # n times a row may be too far from the sums for a long where there are very many rows: null then, exact beside it.
+    exact = F.col("deviation")
+    return long.withColumns({"deviation": exact.try_cast("bigint"), "deviation_exact": exact})
