@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from playtrail.llm import jaccard, language, mixing, packing, weak_labels
+from playtrail.llm import language, mixing, packing, simhash, weak_labels
 from playtrail.llm.common import fresh, prepare
 from playtrail.scratch import through_table
 
@@ -34,9 +34,9 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near duplicates: five-word shingles, similarity 0.8 or more, verified on the whole texts."""
+    """Keeps one document of each group that the SimHash operator links, with its four-word shingles and 4 of 64 bits."""
     prepare(spark)
-    return jaccard.one_of_each(docs)
+    return simhash.one_of_each(docs)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
