@@ -96,7 +96,50 @@ def op11(table):
     )
 
 
-@query("op12_merkle_manifest")
+def merkle_sql(levels: int = 6) -> str:
+    """The manifest in DuckDB's SQL, for sources of up to 16^levels documents and as many sources: a finished tree stays as it is."""
+    bits = "lambda y, z: CASE WHEN y % 2 = 1 THEN xor(y >> 1, 3988292384::UBIGINT) ELSE y >> 1 END"
+    zeros = "[0::UBIGINT, 0, 0, 0, 0, 0, 0, 0]"
+    codes = "list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: ascii(c)::UBIGINT)"
+    crc = f"xor(list_reduce(list_prepend(4294967295::UBIGINT, {codes}), lambda a, x: list_reduce(list_prepend(xor(a, x), {zeros}), {bits})), 4294967295::UBIGINT)"
+
+    def field(value: str) -> str:
+        return f"coalesce(strlen(CAST({value} AS VARCHAR)) || ':' || CAST({value} AS VARCHAR), '-')"
+
+    def row(text: str) -> str:
+        return "sha256(" + " || ".join(map(field, ("doc_id", "source", "lang", "n_chars", text))) + ")"
+
+    small = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    parts = [
+        f"leaves AS (SELECT doc_id, source, {row('text')} AS leaf, CASE WHEN {crc} % 5 = 0 THEN {row(small)} END AS other FROM documents)",
+        "placed AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos FROM leaves)",
+        "s0 AS (SELECT source AS g, pos AS idx, leaf AS d, count(*) OVER (PARTITION BY source) AS n FROM placed)",
+    ]
+
+    def climb(tree: str, ways: str) -> None:
+        """Levels of a tree, and the steps of each leaf's digest through them; ``ways`` has g, idx, folded, proof."""
+        for i in range(1, levels + 1):
+            parts.append(f"{tree}r{i} AS (SELECT g, idx // 16 AS idx, list(d ORDER BY idx) AS ds, any_value(n) AS n FROM {tree}{i - 1} GROUP BY ALL)")
+            digest = "CASE WHEN n = 1 THEN ds[1] ELSE sha256(array_to_string(ds, '')) END"
+            parts.append(f"{tree}{i} AS (SELECT g, idx, {digest} AS d, (n + 15) // 16 AS n FROM {tree}r{i})")
+            slot, before = "w.idx % 16", f"{ways}{i - 1}"
+            left, right = f"array_to_string(r.ds[1:{slot}], '')", f"array_to_string(r.ds[{slot} + 2:], '')"
+            parts.append(
+                f"{ways}{i} AS (SELECT w.* REPLACE (w.idx // 16 AS idx, w.proof || CASE WHEN r.n = 1 THEN '' ELSE {left} || {right} END AS proof,"
+                f" CASE WHEN r.n = 1 THEN w.folded ELSE sha256({left} || w.folded || {right}) END AS folded)"
+                f" FROM {before} w JOIN {tree}r{i} r ON w.g IS NOT DISTINCT FROM r.g AND w.idx // 16 = r.idx)"
+            )
+
+    parts.append("w0 AS (SELECT source AS g, pos AS idx, doc_id, leaf, coalesce(other, leaf) AS folded, '' AS proof FROM placed)")
+    climb("s", "w")
+    parts.append(f"t0 AS (SELECT '' AS g, row_number() OVER (ORDER BY g NULLS FIRST) - 1 AS idx, d, count(*) OVER () AS n, g AS source FROM s{levels})")
+    parts.append(f"v0 AS (SELECT t.g, t.idx, w.doc_id, w.leaf, t.d AS subroot, w.folded, w.proof FROM w{levels} w JOIN t0 t ON w.g IS NOT DISTINCT FROM t.source)")
+    climb("t", "v")
+    return "WITH " + ",\n".join(parts) + f"""
+SELECT doc_id, leaf, subroot, d AS root, sha256(proof) AS proof_sha256, folded AS folded_root, folded = d AS verified FROM v{levels} CROSS JOIN t{levels}"""
+
+
+@query("op12_merkle_manifest", merkle_sql())
 def op12(table):
     docs = table("documents")
     capitals = F.translate(docs["text"], "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
