@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from playtrail.operators import counting, shaping
+from playtrail.operators import axes, counting, shaping
 from playtrail.plans.evaluation_queries import history, holdout
 from playtrail.plans.registry import query
 from playtrail.plans.views import CUTOFF, catalog, event_plays, plays, raw_plays, sql
+from playtrail.scratch import through_table
 
 COUNTS = "counts AS (SELECT content_id, count(*) AS n FROM plays WHERE content_id IS NOT NULL GROUP BY content_id)"
 
@@ -172,6 +173,44 @@ def a12_grid(spark, sf_dir):
     return counting.zero_filled_cells(counting.interaction_counts(log.where("period IN (1, 2)")), asked)
 
 
+AXES = """found AS (SELECT 'account_id' AS axis, account_id AS id, count(*) AS n FROM plays WHERE content_id IS NOT NULL AND account_id IS NOT NULL GROUP BY 2
+ UNION ALL SELECT 'content_id', content_id, n FROM counts),
+bounds AS (SELECT 'account_id' AS axis, min(account_id) AS lo, max(account_id) AS hi FROM plays
+ UNION ALL SELECT 'content_id', min(content_id), max(content_id) FROM catalog)"""
+
+
+def filled_axes(spark, sf_dir):
+    """Intervals of both axes, from the smallest to the largest id of the plays and of the catalogue."""
+    log = plays(spark, sf_dir)
+    counts = through_table(counting.interaction_counts(log), "counts")
+    # Two rows: the bounds.
+    for axis, low, high in counting.id_range(log, catalog(spark, sf_dir)).collect():
+        yield axis, axes.axis_intervals(counts, axis, low, high)
+
+
+@query(
+    "a12_filled_intervals",
+    sql("""SELECT axis, id AS "first", id AS "last", n FROM inside
+    UNION ALL SELECT axis, id + 1, coalesce(next, hi + 1) - 1, 0 FROM (SELECT *, lead(id) OVER (PARTITION BY axis ORDER BY id) AS next FROM inside)
+     WHERE coalesce(next, hi + 1) > id + 1
+    UNION ALL SELECT axis, any_value(lo), min(id) - 1, 0 FROM inside GROUP BY axis HAVING min(id) > any_value(lo)""", COUNTS, AXES,
+        "inside AS (SELECT axis, id, n, lo, hi FROM found JOIN bounds USING (axis) WHERE id BETWEEN lo AND hi)"),
+)
+def a12_intervals(spark, sf_dir):
+    found = [i.select(F.lit(axis).alias("axis"), "first", "last", "n") for axis, i in filled_axes(spark, sf_dir)]
+    return found[0].unionByName(found[1])
+
+
+@query(
+    "a12_filled_ids",
+    sql("""SELECT axis, id, coalesce(n, 0) AS n FROM (SELECT axis, unnest(range(lo, hi + 1)) AS id FROM bounds) LEFT JOIN found USING (axis, id)""", COUNTS, AXES),
+)
+def a12_ids(spark, sf_dir):
+    """Every id of both axes, as the intervals unfold."""
+    found = [axes.axis_ids(i).select(F.lit(axis).alias("axis"), "id", "n") for axis, i in filled_axes(spark, sf_dir)]
+    return found[0].unionByName(found[1])
+
+
 @query(
     "a13_id_range",
     sql("""SELECT 'account_id' AS id, min(account_id) AS lo, max(account_id) AS hi FROM plays UNION ALL

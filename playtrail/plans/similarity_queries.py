@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from playtrail.operators import counting, recommend, sampling, shaping, similarity
+from playtrail.operators import counting, cowatch, recommend, sampling, shaping, similarity
 from playtrail.operators.ordering import dense_index
 from playtrail.plans.counting_queries import COUNTED, DELTA, SEQUENCE, counted
 from playtrail.plans.evaluation_queries import holdout
@@ -39,6 +39,17 @@ def j08(spark, sf_dir):
     return similarity.cowatch_draw_counts(counting.seen_items(plays(spark, sf_dir), "customer_id"))
 
 
+@query(
+    "j08_cowatch_pairs",
+    sql("""SELECT a.content_id, b.content_id AS other_id, count(*) AS n FROM seen a JOIN seen b USING (customer_id)
+    WHERE a.content_id < b.content_id GROUP BY 1, 2 HAVING count(*) >= 3""",
+        "seen AS (SELECT DISTINCT customer_id, content_id FROM plays WHERE content_id IS NOT NULL)"),
+)
+def j08_pairs(spark, sf_dir):
+    """All pairs of titles that at least three customers have both watched."""
+    return cowatch.cowatch_pairs(counting.seen_items(plays(spark, sf_dir), "customer_id"), least=3)
+
+
 NEIGHBORS = """neighbors AS (SELECT a.vec_id AS content_id, b.vec_id AS neighbor_id, round(sqrt(list_sum(list_transform(
    range(1, len(a.embedding) + 1), lambda i: (CAST(a.embedding[i] AS DOUBLE) - b.embedding[i]) ^ 2))), 6) AS distance
   FROM embeddings a CROSS JOIN embeddings b
