@@ -97,10 +97,12 @@ def test_knn_with_fewer_vectors_than_neighbors(spark):
     assert similarity.knn(df, 50).count() == 4
 
 
-@pytest.mark.parametrize("stripe", [7, 4096])
-def test_greedy_slates(spark, monkeypatch, stripe):
-    """Against plain loops: a user with all titles, one with few, one without a past, one with nothing left."""
+@pytest.mark.parametrize("stripe,held", [(7, 0), (4096, 0), (4096, 10**6)])
+def test_greedy_slates(spark, monkeypatch, stripe, held):
+    """Against plain loops, by rounds and at once: a user with all titles, one with few, one without a past, one with nothing left."""
     monkeypatch.setattr(similarity, "STRIPE_ROWS", stripe)
+    monkeypatch.setattr(slates, "HELD", held)
+    monkeypatch.setattr(slates.LazySlates, "FIRST", 3)
     rng = np.random.default_rng(3)
     d, k = 4, 5
     v = {c: np.round(rng.normal(size=d), 3) for c in range(40)}
@@ -135,6 +137,29 @@ def test_greedy_slates(spark, monkeypatch, stripe):
     assert {tuple(r) for r in got.collect()} == want
 
 
+@pytest.mark.parametrize("seed", range(20))
+def test_lazy_slates_equal_full_scoring(seed):
+    """Also with ties: rows that repeat, and vectors of few values."""
+    rng = np.random.default_rng(seed)
+    d, n = 5, 300
+    v = np.round(rng.normal(size=(n, d)), seed % 3)
+    v[n // 2 :] = v[: n // 2] if seed % 2 else v[n // 2 :]
+    weights, past = rng.normal(size=4 * d), rng.normal(size=2 * d)
+    ids = np.arange(n) * 3
+    able = rng.random(n) < 0.8
+    lazy = slates.LazySlates(ids, v, weights)
+    lazy.FIRST = 7
+    got = lazy.slate(past, able, 20)
+    direction, total, top, want = slates._direction(past, weights), np.zeros(d), np.zeros(d), []
+    for m in range(20):
+        rows = np.array([r for r in np.flatnonzero(able) if r not in want])
+        scores = np.round(slates._next_scores(direction, total, top, m, v[rows]), 9)
+        best = int(rows[slates._pick(scores, ids[rows])])
+        want.append(best)
+        total, top = total + v[best], v[best] if m == 0 else np.maximum(top, v[best])
+    assert got == want
+
+
 def test_every_title_is_encoded(spark):
     rng = np.random.default_rng(6)
     x, w = rng.normal(size=(30, 5)), rng.normal(size=(6, 3))
