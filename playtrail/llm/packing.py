@@ -29,7 +29,7 @@ END_ID = 2
 TASK_WORDS = 200_000
 
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
-SLOTS = "length bigint, lo bigint, hi bigint, first_sequence bigint, per_sequence bigint, base bigint"
+SLOTS = ("length", "lo", "hi", "first_sequence", "per_sequence", "base")
 
 
 def pieces_of(
@@ -165,7 +165,9 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     order = [F.asc_nulls_first(at["doc_id"]), F.asc(at["piece"])]
     # One row per length: bounded by the capacity.
     lengths = {r[0]: r[1] for r in plain.groupBy(at["length"]).count().collect()}
-    slots = spark.createDataFrame(slots_of(lengths, capacity), SLOTS)
+    # From Arrow: rows of Python objects would start workers of another kind, which stay beside the first ones.
+    rows = slots_of(lengths, capacity)
+    slots = spark.createDataFrame(pa.table({c: pa.array([r[i] for r in rows], pa.int64()) for i, c in enumerate(SLOTS)}))
     numbered = positions(plain, order, keys=[at["length"]], name="number").withColumn("number", F.col("number") - 1)
     # Lengths are at most ``capacity``, patterns a few per length: the table is bounded by the capacity alone.
     hit = (F.col(at["length"]) == F.col("length")) & (F.col("number") >= F.col("lo")) & (F.col("number") < F.col("hi"))
