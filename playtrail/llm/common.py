@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
+from collections.abc import Callable, Iterator
+from functools import wraps
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,3 +53,24 @@ def unit(seed: int, *cols: Column) -> Column:
     """A number strictly between 0 and 1 drawn from the hash of the columns."""
     h = F.shiftrightunsigned(F.xxhash64(F.lit(seed), *cols), 11)
     return (h.cast("double") + 0.5) / float(2**53)
+
+
+def giving_back(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A task's function over batches that, at its end, gives freed memory back to the system.
+
+    Workers live on between tasks and stages, beside an executor whose heap has grown; what one task needed
+    for its texts would otherwise stay with its worker.
+    """
+
+    @wraps(run)
+    def wrapped(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # the C library of Linux has it
+            if trim is not None:
+                trim(0)
+
+    return wrapped

@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from playtrail.llm.common import giving_back
+
 SPECTRUM = 4
 #: n-grams are hashed into 2^HASH_BITS buckets.
 HASH_BITS = 17
@@ -143,6 +145,7 @@ def train(docs: DataFrame, rows: int = TRAIN_ROWS, landmarks: int = LANDMARKS, s
     ids = taught.select("lang", "doc_id").distinct()
     drawn = top_k(ids, ["lang"], [F.xxhash64("doc_id"), F.col("doc_id")], each, "_place").select("lang", "doc_id")
 
+    @giving_back
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         presence = Presence(spectrum, bits)
         for b in batches:
@@ -166,6 +169,7 @@ def language_of(docs: DataFrame, model: Model) -> Column:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("lang_pred string, score double")
+    @giving_back
     def udf(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for t in texts:
             found = [x for lo in range(0, len(t), 500) for x in predict(shared.value, t.iloc[lo : lo + 500].tolist())]

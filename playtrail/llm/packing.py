@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from playtrail.llm.common import giving_back
 from playtrail.llm.tokens import encoder, public_vocabulary
 from playtrail.operators.ordering import positions
 from playtrail.scratch import through_table
@@ -49,6 +50,7 @@ def pieces_of(
     vocabulary = vocabulary or public_vocabulary()
     end = struct.pack("<I", end_id)
 
+    @giving_back
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = (encoder(vocabulary) if keep_encoder else encoder(vocabulary, TASK_WORDS, keep=False)).encode
         for b in batches:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from playtrail.llm.common import fresh, parts_of
+from playtrail.llm.common import fresh, giving_back, parts_of
 from playtrail.llm.components import block_links, components, links_batch
 from playtrail.scratch import through_table
 
@@ -62,6 +62,7 @@ def word_hashes(text: str | None, shingle: int, seed: int = SEED) -> Iterator[li
 def with_fingerprints(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
     """(doc_id, fp) of all rows; fp holds the 64 bits in a signed number."""
 
+    @giving_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             found = np.fromiter((fingerprint(t.as_py(), shingle, seed) for t in b.column(1)), np.uint64, len(b))

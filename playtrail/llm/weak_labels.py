@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from playtrail.llm.common import giving_back
 from playtrail.scratch import through_table
 
 #: The scorer is fitted on at most so many documents, drawn by the hash of their ids.
@@ -252,6 +253,7 @@ class Scorer:
 
 def _votes_udf():
     @F.pandas_udf("string")
+    @giving_back
     def udf(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for t in texts:
             yield pd.Series([votes(facts(x)) for x in t], dtype=object)
@@ -276,6 +278,7 @@ def train(docs: DataFrame, rows: int = TRAIN_ROWS, buckets: int = BUCKETS) -> Sc
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     )
 
+    @giving_back
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             found = [features(facts(t), buckets) for t in b.column(1).to_pylist()]
@@ -297,6 +300,7 @@ def score_of(docs: DataFrame, scorer: Scorer) -> Column:
     shared = docs.sparkSession.sparkContext.broadcast(scorer)  # bounded: ``buckets`` weights
 
     @F.pandas_udf("votes string, score double")
+    @giving_back
     def udf(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for t in texts:
             known = map(facts, t)
