@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from playtrail.operators import counting, cowatch, recommend, sampling, shaping, similarity
+from playtrail.operators import counting, cowatch, inverted, recommend, sampling, shaping, similarity
 from playtrail.operators.ordering import dense_index
 from playtrail.plans.counting_queries import COUNTED, DELTA, SEQUENCE, counted
 from playtrail.plans.evaluation_queries import holdout
@@ -88,6 +88,16 @@ def j09_approximate(spark, sf_dir):
     return exact.agg(total.alias("total"), (F.lit(hits) >= RECALL * total).alias("enough"))
 
 
+@query("j09_index_knn")
+def j09_index(spark, sf_dir):
+    """The index of inverted lists, asked for 50 neighbours of every id divisible by 100: its recall, and the share of distances made."""
+    vectors = embeddings(spark, sf_dir)
+    queries = vectors.where("content_id % 100 = 0").withColumnRenamed("content_id", "query")
+    found, took = inverted.sufficient(inverted.build_index(vectors), queries, 50, RECALL)
+    counted = found.agg(F.count_distinct("query").alias("queries"), F.count(F.lit(1)).alias("neighbors"))
+    return counted.withColumns({name: F.lit(value) for name, value in took.items()})
+
+
 @query(
     "j10_sequence_features",
     sql(f"""SELECT customer_id, pos, content_id, round(coalesce(play_share, 0), 9) AS play_share,

@@ -7,7 +7,6 @@ import sys
 import time
 from pathlib import Path
 
-import duckdb
 import pandas as pd
 from pyspark.sql import SparkSession
 
@@ -29,7 +28,9 @@ def session(cores: int = 8, partitions: int = 8) -> SparkSession:
     )
 
 
-def duck(sf_dir: str) -> duckdb.DuckDBPyConnection:
+def duck(sf_dir: str):
+    import duckdb  # only where a query is compared: a session needs none
+
     con = duckdb.connect()
     con.execute("SET TimeZone='UTC'")
     for name in TABLES:
