@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from playtrail.llm.common import giving_back
+from playtrail.operators.ordering import top_k
 
 SPECTRUM = 4
 #: n-grams are hashed into 2^HASH_BITS buckets.
@@ -136,13 +137,17 @@ def train(docs: DataFrame, rows: int = TRAIN_ROWS, landmarks: int = LANDMARKS, s
     hash of the id.  Every language is learned that has a text to learn from.  Null languages, null ids and texts without letters teach nothing.
     """
     taught = docs.where((remainder(F.col("doc_id")) != 0) & F.col("lang").isNotNull())
-    languages = taught.select("lang").distinct().count()
+    # A language's own cut-off on the hash lets a little more through than is wanted, so that no task gets
+    # rows of a language by the map task; an id that stands on many rows counts once.
+    sizes = taught.groupBy("lang").agg(F.approx_count_distinct("doc_id").alias("_ids"))
+    languages = sizes.count()
     if not languages:
         return fit([], landmarks, spectrum=spectrum, bits=bits)
     each = max(1, rows // languages)
-    from playtrail.operators.ordering import top_k
-
-    ids = taught.select("lang", "doc_id").distinct()
+    share = F.least(F.lit(1.0), F.lit(2.0 * each + 40) / (0.8 * F.col("_ids")))
+    near = sizes.select("lang", F.when(share < 1, (share * 2.0**64 - 2.0**63).cast("bigint")).alias("_cut"))
+    few = taught.select("lang", "doc_id").join(near, "lang").where(F.col("_cut").isNull() | (F.xxhash64("doc_id") < F.col("_cut")))
+    ids = few.select("lang", "doc_id").distinct()
     drawn = top_k(ids, ["lang"], [F.xxhash64("doc_id"), F.col("doc_id")], each, "_place").select("lang", "doc_id")
 
     @giving_back

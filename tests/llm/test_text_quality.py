@@ -287,3 +287,26 @@ def test_every_language_is_learned(spark):
     assert model.languages == sorted(taught) and len(taught) == 250
     told = language.predict(model, [t for _, t in rows])
     assert np.mean([got == lang for (got, _), (lang, _) in zip(told, rows, strict=True)]) > 0.95
+
+
+def test_samples_are_the_ids_of_the_least_hashes(spark, monkeypatch):
+    """Cut-offs on the hash change nothing: also with an id on many rows, and languages of very different sizes."""
+    rows = [(i, f"{PROSE} number {i}", ("en", "de", "fr")[(i % 10 > 6) + (i % 10 > 8)]) for i in range(3000)] + [(7, PROSE, "en")] * 4000
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string").repartition(6)
+    hashes = dict(spark.range(3000).select("id", F.xxhash64("id")).collect())
+    got = {}
+    monkeypatch.setattr(language, "fit", lambda samples, *a, **k: got.update(samples=samples))
+    language.train(docs, rows=60)
+    want = Counter()
+    for lang in ("en", "de", "fr"):
+        taught = {i for i, _, x in rows if x == lang and zlib.crc32(str(i).encode()) % 5}
+        want[lang] = len(sorted(taught, key=hashes.get)[:20])
+    assert Counter(s for s, _ in got["samples"]) == want
+    presence = language.Presence()
+    first = {lang: [g.tolist() for s, g in got["samples"] if s == lang] for lang in want}
+    texts = {}
+    for i, t, x in rows:
+        texts[i, x] = min(t, texts.get((i, x), t))
+    for lang in want:
+        taught = sorted({i for i, _, x in rows if x == lang and zlib.crc32(str(i).encode()) % 5}, key=hashes.get)[:20]
+        assert first[lang] == [presence(texts[i, lang]).tolist() for i in taught]
