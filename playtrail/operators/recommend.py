@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,6 +16,7 @@ from playtrail.operators.counting import (
 )
 from playtrail.operators.ordering import ranked, top_items, top_k
 from playtrail.operators.shaping import drop_seen, first_play_only, keep_members, merge_candidates
+from playtrail.operators.similarity import dealt, stripe_of
 from playtrail.scratch import through_table
 
 # Ranks up to here are looked up by broadcast (under 2 MB); deeper ones by shuffle.
@@ -117,17 +120,48 @@ def new_releases(catalog: DataFrame, cutoff: str) -> DataFrame:
     return latest_start(catalog).where(F.col("latest_start") > F.lit(cutoff).cast("timestamp_ntz"))
 
 
+#: Users and items of a meeting that lists candidates: at most so many squared rows leave it.
+LISTED = 1024
+
+
 def candidates(users: DataFrame, history: DataFrame, top: DataFrame, new: DataFrame, neighbors: DataFrame, user_col: str = "account_id") -> DataFrame:
     """Popular items, new releases and neighbours of everything watched, without the watched, for every user.
 
     This listing has a row per user and shared item by its nature.  Slates don't need it: they take the two
-    parts of :func:`split_candidates` as they are.
+    parts of :func:`split_candidates` as they are.  Stripes of users meet stripes of items; own candidates and what was watched
+    go to the one meeting they concern, so that the listing is neither made distinct nor joined.
     """
-    history = history.join(users.select(user_col), user_col, "left_semi")
+    everyone = through_table(users.select(user_col).where(F.col(user_col).isNotNull()).distinct(), "candidate_users")
+    history = history.join(everyone, user_col, "left_semi")
     shared, own = split_candidates(history, top, new, neighbors, user_col)
-    listed = shared.agg(F.sort_array(F.collect_set("content_id"))).scalar()
-    spread = users.select(user_col, F.explode(listed).alias("content_id"))
-    return drop_seen(merge_candidates(spread, own), history, user_col)
+    own = through_table(own, "own_candidates")
+    offered = shared.select("content_id", F.lit(True).alias("shared")).unionByName(own.select("content_id", F.lit(False).alias("shared")))
+    items = through_table(offered.groupBy("content_id").agg(F.bool_or("shared").alias("shared")), "candidate_items")
+    n_users, n_items = (max(1, -(-df.count() // LISTED)) for df in (everyone, items))
+    marks = own.select(user_col, "content_id", F.lit(True).alias("own")).unionByName(history.select(user_col, "content_id", F.lit(False).alias("own")))
+    marks = marks.select(user_col, "content_id", "own", stripe_of(user_col, n_users).alias("u"), stripe_of("content_id", n_items).alias("i"))
+    left = dealt(everyone, user_col, "u", n_users, "i", n_items)
+    # Rows without a mark are the users; their content is 0, as a null would make the ids floats.
+    left = left.select(user_col, F.lit(0).cast("bigint").alias("content_id"), F.lit(None).cast("boolean").alias("own"), "u", "i").unionByName(marks)
+    right = dealt(items, "content_id", "i", n_items, "u", n_users)
+
+    def listed(asked: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+        known = known.sort_values("content_id")
+        ids = known["content_id"].to_numpy(dtype=np.int64)
+        mine = asked["own"].isna().to_numpy()
+        who = np.sort(asked[user_col].to_numpy()[mine].astype(np.int64))
+        able = np.repeat(known["shared"].to_numpy(dtype=bool)[None, :], len(who), axis=0)
+        marked = asked[~mine]
+        for value in (True, False):  # what was watched goes last and wins
+            chosen = marked[marked["own"].astype(bool) == value]
+            content = chosen["content_id"].to_numpy(dtype=np.int64)
+            at = np.minimum(np.searchsorted(ids, content), max(0, len(ids) - 1))
+            there = ids[at] == content if len(ids) else np.zeros(0, bool)
+            able[np.searchsorted(who, chosen[user_col].to_numpy(dtype=np.int64)[there]), at[there]] = value
+        u, i = np.nonzero(able)
+        return pd.DataFrame({user_col: who[u], "content_id": ids[i]})
+
+    return left.groupBy("u", "i").cogroup(right.groupBy("u", "i")).applyInPandas(listed, f"{user_col} bigint, content_id bigint")
 
 
 def split_candidates(history: DataFrame, top: DataFrame, new: DataFrame, neighbors: DataFrame, user_col: str = "account_id") -> tuple[DataFrame, DataFrame]:

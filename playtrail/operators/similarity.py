@@ -18,6 +18,8 @@ from playtrail.scratch import through_table
 # Rows of a stripe on a grid of meetings, and rows of one product within a meeting.
 STRIPE_ROWS = 4096
 STEP = 64
+#: Positives of a meeting that counts what stands below them.
+POSITIVES = 1_000_000
 
 MAX_PIVOTS = 1024
 BLOCK_ROWS = 1024
@@ -324,11 +326,17 @@ def catalogue_auc(users: DataFrame, items: DataFrame, positives: DataFrame, user
     dot = F.aggregate(F.zip_with("_u", "_v", lambda x, y: x * y), F.lit(0.0), lambda acc, x: acc + x)
     scored = through_table(scores.join(u, user_col).join(v, "content_id").select(user_col, "content_id", F.round(dot, 6).alias("score")), "positives")
     n_users, n_items = stripes_for(users.count(), users), stripes_for(items.count(), items)
-    asked = scored.select(user_col, F.lit(None).cast("array<double>").alias("vector"), "score", stripe_of(user_col, n_users).alias("u"))
+    # Users with many positives are met in blocks of them: no meeting holds more than about POSITIVES.
+    most = scored.groupBy(stripe_of(user_col, n_users).alias("u")).count().agg(F.max("count")).first()[0] or 0
+    blocks = max(1, -(-most // POSITIVES))
+    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("b")
+    asked = scored.select(
+        user_col, F.lit(None).cast("array<double>").alias("vector"), "score", stripe_of(user_col, n_users).alias("u"), stripe_of("content_id", blocks).alias("b")
+    )
     asked = asked.select("*", F.explode(F.sequence(F.lit(0), F.lit(n_items - 1))).alias("i"))
-    left = dealt(users.select(user_col, "vector"), user_col, "u", n_users, "i", n_items).withColumn("score", F.lit(None).cast("double"))
-    left = left.select(user_col, "vector", "score", "u", "i").unionByName(asked.select(user_col, "vector", "score", "u", "i"))
-    right = dealt(items.select("content_id", "vector"), "content_id", "i", n_items, "u", n_users)
+    left = dealt(users.select(user_col, "vector"), user_col, "u", n_users, "i", n_items).withColumn("score", F.lit(None).cast("double")).select("*", every)
+    left = left.select(user_col, "vector", "score", "u", "i", "b").unionByName(asked.select(user_col, "vector", "score", "u", "i", "b"))
+    right = dealt(items.select("content_id", "vector"), "content_id", "i", n_items, "u", n_users).select("*", every)
 
     def count(own: pd.DataFrame, others: pd.DataFrame) -> pd.DataFrame:
         out = [pd.DataFrame({user_col: np.zeros(0, np.int64), "below": np.zeros(0)})]
@@ -345,7 +353,7 @@ def catalogue_auc(users: DataFrame, items: DataFrame, positives: DataFrame, user
                     out.append(pd.DataFrame({user_col: [user], "below": [float(below.sum())]}))
         return pd.concat(out)
 
-    counted = left.groupBy("u", "i").cogroup(right.groupBy("u", "i")).applyInPandas(count, f"{user_col} bigint, below double")
+    counted = left.groupBy("u", "i", "b").cogroup(right.groupBy("u", "i", "b")).applyInPandas(count, f"{user_col} bigint, below double")
     below = counted.groupBy(user_col).agg(F.sum("below").alias("below"))
     total = items.agg(F.count(F.lit(1))).scalar().cast("double")
     n = F.col("positives").cast("double")

@@ -108,8 +108,10 @@ def test_backfill_keeps_first_places(spark):
     assert none.count() == 2
 
 
-def test_candidates_of_many_users(spark):
+@pytest.mark.parametrize("listed", [1024, 3])
+def test_candidates_of_many_users(spark, monkeypatch, listed):
     """More users than one list of literals could hold; each gets the shared items and its own, without the seen."""
+    monkeypatch.setattr(recommend, "LISTED", listed if listed > 100 else 200)
     users = spark.range(1500).withColumnRenamed("id", "account_id")
     past = users.select("account_id", (F.col("account_id") % 7).alias("content_id"))
     top = spark.createDataFrame([(1,), (2,)], "content_id bigint")
@@ -121,6 +123,22 @@ def test_candidates_of_many_users(spark):
     assert len(got) == len(want) and {tuple(r) for r in got} == want
 
 
+@pytest.mark.parametrize("listed", [1024, 2])
+def test_candidates_of_wide_ids(spark, monkeypatch, listed):
+    """Ids beyond the floats' whole numbers, users without a past, nothing shared, and users that are listed twice."""
+    monkeypatch.setattr(recommend, "LISTED", listed)
+    big = 2**60
+    users = spark.createDataFrame([(big + 1,), (big + 2,), (big + 2,), (3,), (None,)], "account_id bigint")
+    past = spark.createDataFrame([(big + 1, big + 5), (big + 2, big + 6), (99, big + 5)], "account_id bigint, content_id bigint")
+    near = spark.createDataFrame([(big + 5, big + 5), (big + 5, big + 7), (big + 6, 8), (big + 6, big + 8)], "content_id bigint, neighbor_id bigint")
+    top = spark.createDataFrame([(big + 6,), (big + 9,)], "content_id bigint")
+    got = recommend.candidates(users, past, top, top.limit(0), near)
+    want = {(big + 1, big + 6), (big + 1, big + 9), (big + 1, big + 7), (big + 2, big + 9), (big + 2, 8), (big + 2, big + 8), (3, big + 6), (3, big + 9)}
+    assert {tuple(r) for r in got.collect()} == want and got.count() == len(want)
+    alone = recommend.candidates(users, past, top.limit(0), top.limit(0), near)
+    assert {tuple(r) for r in alone.collect()} == {(big + 1, big + 7), (big + 2, 8), (big + 2, big + 8)}
+
+
 def test_unseen_pairs(spark):
     pairs = spark.createDataFrame([(0, 1), (0, 2), (0, 2), (5, 1)], "account_id bigint, content_id bigint")
     seen = spark.createDataFrame([(0, 1), (5, 3)], "account_id bigint, content_id bigint")
@@ -162,9 +180,10 @@ def test_models_take_any_ids(spark):
     assert [r["content_id"] for r in sorted(got, key=lambda r: r["pos"]) if r["account_id"] == 9] == [-big, -big - 1, -big - 2]
 
 
-@pytest.mark.parametrize("stripe", [5, 4096])
-def test_catalogue_auc(spark, monkeypatch, stripe):
+@pytest.mark.parametrize("stripe,positives", [(5, 10**6), (4096, 10**6), (4096, 9)])
+def test_catalogue_auc(spark, monkeypatch, stripe, positives):
     monkeypatch.setattr(similarity, "STRIPE_ROWS", stripe)
+    monkeypatch.setattr(similarity, "POSITIVES", positives)
     rng = random.Random(3)
     u = {i: [rng.randint(-2, 2) * 1.0 for _ in range(3)] for i in range(9)}
     v = {100 + i: [rng.randint(-2, 2) * 1.0 for _ in range(3)] for i in range(30)}
