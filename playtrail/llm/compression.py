@@ -28,16 +28,16 @@ BANDS = (
     (128, 0.90, 0.78, 2.10),
     (256, 1.04, 0.90, 2.30),
     (512, 1.25, 1.00, 2.50),
-    (1024, 1.48, 1.14, 2.70),
-    (2048, 1.69, 1.32, 2.90),
-    (4096, 1.74, 1.45, 3.10),
+    (1024, 1.48, 1.12, 2.70),
+    (2048, 1.69, 1.29, 2.90),
+    (4096, 1.74, 1.42, 3.10),
     (16384, 1.78, 1.50, 3.60),
     (65536, 1.78, 1.52, 4.20),
     (1048576, 1.78, 1.52, 5.00),
 )
 #: Bytes a character up to which a text is narrow and from which on it is wide; between them the least ratio is, too.  Scripts
 #: of thousands of characters have few repeated bytes in a short text, whatever it says.
-NARROW, WIDE = 1.1, 2.0
+NARROW, WIDE = 1.1, 1.6
 CHUNK = 4096
 #: Greatest share of a document's chunks outside their band.
 BAD_CHUNKS = 0.25
