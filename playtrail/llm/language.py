@@ -29,6 +29,8 @@ LANDMARKS = 128
 #: The model is fitted on at most so many texts, as many of each language and one at least, drawn by the hash of their ids.
 TRAIN_ROWS = 2000
 RIDGE = 1e-3
+#: Languages whose cut-offs go to every task: a name and a number each.
+MOST_BROADCAST = 50_000
 UNKNOWN = "und"
 
 _OTHER = re.compile(r"[\W\d_]+")
@@ -146,6 +148,8 @@ def train(docs: DataFrame, rows: int = TRAIN_ROWS, landmarks: int = LANDMARKS, s
     each = max(1, rows // languages)
     share = F.least(F.lit(1.0), F.lit(2.0 * each + 40) / (0.8 * F.col("_ids")))
     near = sizes.select("lang", F.when(share < 1, (share * 2.0**64 - 2.0**63).cast("bigint")).alias("_cut"))
+    if languages <= MOST_BROADCAST:  # else the rows would be dealt by language before they are few
+        near = F.broadcast(near)
     few = taught.select("lang", "doc_id").join(near, "lang").where(F.col("_cut").isNull() | (F.xxhash64("doc_id") < F.col("_cut")))
     ids = few.select("lang", "doc_id").distinct()
     drawn = top_k(ids, ["lang"], [F.xxhash64("doc_id"), F.col("doc_id")], each, "_place").select("lang", "doc_id")
