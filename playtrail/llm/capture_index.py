@@ -12,6 +12,7 @@ file's directory by binary search, decompresses these blocks only, and reads the
 from __future__ import annotations
 
 import gzip
+import hashlib
 import io
 import json
 import re
@@ -84,7 +85,10 @@ def _urn(page_id: int | None) -> str:
 
 
 def parse_record(data: bytes) -> dict:
-    """Headers, payload and the values of ``READ`` of an uncompressed record."""
+    """Headers, payload and the values of ``READ`` of an uncompressed record.
+
+    A response's size and digest are those of the payload that is read, and an error if its headers name others.
+    """
     head, _, rest = data.partition(b"\r\n\r\n")
     headers = dict(line.split(": ", 1) for line in head.decode().split("\r\n")[1:])
     block = rest[: int(headers["Content-Length"])]
@@ -95,10 +99,16 @@ def parse_record(data: bytes) -> dict:
         number = headers.get(name, "<urn:page:>")[len("<urn:page:") : -1]
         return int(number) if number else None
 
+    size, digest = int(fields["Content-Length"]), headers["WARC-Payload-Digest"].removeprefix("sha1:")
+    if headers["WARC-Type"] == "response":
+        found = (len(payload), hashlib.sha1(payload).hexdigest())
+        if found != (size, digest):
+            raise ValueError(f"the payload of {headers['WARC-Record-ID']} is not what its headers say")
+        size, digest = found
     return {
         "page_id": page("WARC-Record-ID"),
-        "payload_bytes": int(fields["Content-Length"]),
-        "payload_digest": headers["WARC-Payload-Digest"].removeprefix("sha1:"),
+        "payload_bytes": size,
+        "payload_digest": digest,
         "record_type": headers["WARC-Type"],
         "refers_to": page("WARC-Refers-To"),
         "url": headers.get("WARC-Target-URI"),
@@ -223,18 +233,18 @@ class IndexFile:
         self.lasts = [d[1] for d in self.directory]
         self.held: tuple[int, list] = (-1, [])
 
-    def block(self, k: int) -> list:
+    def block(self, k: int) -> tuple[list, list[str]]:
+        """The captures of a block and their keys."""
         if self.held[0] != k:
             _, _, at, length = self.directory[k]
-            lines = zlib.decompress(self.file.read_at(length, at)).decode().split("\n")
-            self.held = (k, [json.loads(x) for x in lines])
+            lines = [json.loads(x) for x in zlib.decompress(self.file.read_at(length, at)).decode().split("\n")]
+            self.held = (k, (lines, [x[0] for x in lines]))
         return self.held[1]
 
     def find(self, key: str) -> Iterator[list]:
         """All captures of the key: binary search in the directory, then in each block."""
         for k in range(bisect_left(self.lasts, key), bisect_right(self.firsts, key)):
-            lines = self.block(k)
-            keys = [x[0] for x in lines]
+            lines, keys = self.block(k)
             yield from lines[bisect_left(keys, key) : bisect_right(keys, key)]
 
 

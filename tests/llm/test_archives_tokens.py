@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from playtrail.llm import capture_index, packing, queries, token_store, tokens
+from playtrail.llm import capture_index, files, packing, queries, token_store, tokens
 from tests.llm.helpers import DOCS, PROSE, SF, crc_of, odd_documents, sorted_rows, token_ids
 
 
@@ -48,6 +48,16 @@ def test_capture_of_odd_rows(spark):
     assert capture_index.archive_and_read_back(pages.limit(0)).count() == 0
 
 
+def test_a_changed_payload_is_an_error(spark):
+    pages = spark.createDataFrame([(1, "http://a.example/", "<p>one</p>" * 50)], "page_id bigint, url string, html string")
+    (place,) = capture_index.write_archives(pages).collect()
+    system, path = files.open_folder(place["archive"])
+    record = gzip.decompress(system.open_input_file(path).read_at(place["length"], place["offset"]))
+    assert capture_index.parse_record(record)["payload_bytes"] == 500
+    with pytest.raises(ValueError, match="payload"):
+        capture_index.parse_record(record.replace(b"one", b"two", 1))
+
+
 def test_lookup_of_hot_and_missing_keys(spark):
     rows = [(i, "http://hot.example/" if i % 3 == 0 else f"http://h{i % 50}.example/{i}", f"page {i}") for i in range(600)]
     pages = spark.createDataFrame(rows, "page_id bigint, url string, html string").repartition(5)
