@@ -212,3 +212,27 @@ def test_in_period_keeps_or_drops_missing_times(spark):
     assert n(in_period(ts, 3, "not_in")) == 3 and n(in_period(ts, 3)) == 1 and n(in_period(ts, 3, "before")) == 1
     assert n(in_period(ts, 12, year=2020)) == 1 and n(in_period(ts, 12, "not_in", year=2020)) == 3
     assert n(in_period(ts, 3, "before", year=2021)) == 1
+
+
+@pytest.mark.parametrize("rows", [5, 30])
+def test_auc_sends_a_list_per_user(spark, monkeypatch, rows):
+    monkeypatch.setattr(similarity, "AUC_ROWS", rows)
+    rng = random.Random(4)
+    users = spark.createDataFrame([(i, [rng.randint(-2, 2) * 1.0 for _ in range(3)]) for i in range(6)], "account_id bigint, vector array<double>")
+    items = spark.createDataFrame([(i, [rng.randint(-2, 2) * 1.0 for _ in range(3)]) for i in range(30)], "content_id bigint, vector array<double>")
+    assert similarity.auc_stripes(items) == 30 // rows
+    pairs = spark.createDataFrame([(u, i) for u in range(6) for i in rng.sample(range(30), 8)], "account_id bigint, content_id bigint")
+    sent, kind = [], type(pairs)
+    union = kind.unionByName
+    monkeypatch.setattr(kind, "unionByName", lambda self, other, *a: sent.append(other) or union(self, other, *a))
+    found = similarity.catalogue_auc(users, items, pairs).collect()
+    u, v = ({r[0]: r[1] for r in df.collect()} for df in (users, items))
+    own = {i: {r[1] for r in pairs.collect() if r[0] == i} for i in u}
+    for r in found:
+        score = lambda c: sum(a * b for a, b in zip(u[r["account_id"]], v[c]))  # noqa: B023, E731
+        mine = own[r["account_id"]]
+        area = sum((score(p) > score(n)) + (score(p) == score(n)) / 2 for p in mine for n in set(v) - mine)
+        assert r["auc"] == pytest.approx(area / len(mine) / (len(v) - len(mine)))
+    # One row per user and stripe of items, without null lists, whatever the number of positives.
+    assert len(found) == 6 and sent[0].count() == 6 * (30 // rows)
+    assert not sent[0].where("vector IS NULL OR scores IS NULL").count()
