@@ -38,6 +38,28 @@ def test_no_pairs(spark):
     assert cowatch.cowatch_pairs(df.where("false")).count() == 0
 
 
+def test_full_meetings_begin_again(spark, monkeypatch):
+    for name, value in (("PAIRS", 40), ("HELD", 60), ("USERS", 5)):
+        monkeypatch.setattr(cowatch, name, value)
+    df = spark.createDataFrame(seen_rows(), "customer_id bigint, content_id bigint")
+    titles = {}
+    for u, t in seen_rows():
+        titles.setdefault(u, set()).add(t)
+    want = Counter(p for own in titles.values() for p in combinations(sorted(own), 2))
+    got = {(r["content_id"], r["other_id"]): r["n"] for r in cowatch.cowatch_pairs(df, 2, block=30).collect()}
+    assert got == {p: n for p, n in want.items() if n >= 2}
+
+
+def test_few_rows_reach_the_meetings(spark):
+    """Forty titles each of 600 users lay in 40 blocks of 512 and met in 1600 rows a user; pairs below the threshold left every meeting."""
+    rows = [(u, 1000 * i + u % 500) for u in range(600) for i in range(40)]
+    df = spark.createDataFrame(rows, "customer_id bigint, content_id bigint")
+    found = cowatch.cowatch_pairs(df, 2)
+    assert found.count() == 100 * 780
+    packed = [p for p in found.inputFiles() if "packed" in p]
+    assert packed and spark.read.parquet(*packed).count() <= 600
+
+
 COUNTS = "id bigint, n bigint"
 
 
