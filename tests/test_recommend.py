@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -236,3 +237,51 @@ def test_auc_sends_a_list_per_user(spark, monkeypatch, rows):
     # One row per user and stripe of items, without null lists, whatever the number of positives.
     assert len(found) == 6 and sent[0].count() == 6 * (30 // rows)
     assert not sent[0].where("vector IS NULL OR scores IS NULL").count()
+
+
+@pytest.mark.parametrize("numbers,columns", [(2_000_000, 4096), (64, 7), (200, 30)])
+def test_best_of_products_equal_a_sort(monkeypatch, numbers, columns):
+    monkeypatch.setattr(similarity, "COLUMNS", columns)
+    monkeypatch.setattr(similarity, "ROWS", 11)
+    rng = np.random.default_rng(8)
+    u, v = np.round(rng.normal(size=(40, 5)), 1), np.round(rng.normal(size=(90, 5)) * rng.exponential(size=(90, 1)), 1)
+    v[50:60], ids = v[:10], rng.permutation(90) * 7
+    gone = np.array(sorted({(int(a), int(b)) for a, b in zip(rng.integers(0, 40, 900), rng.integers(0, 90, 900))} | {(3, b) for b in range(90)}))
+    rows, cols, scores = similarity._best(u, v, ids, 6, lambda r, c, x: np.round(x, 9), lambda r, x: x, lambda r, x: x - 2e-9, (gone[:, 0], gone[:, 1]))
+    struck = set(map(tuple, gone.tolist()))
+    for i in range(40):
+        want = sorted((-round(float(u[i] @ v[j]), 9), int(ids[j])) for j in range(90) if (i, j) not in struck)[:6]
+        assert [(-s, int(ids[c])) for c, s in zip(cols[rows == i], scores[rows == i])] == [(pytest.approx(s), c) for s, c in want]
+
+
+def test_vectors_are_sent_a_few_times(spark):
+    """Stripes of 4096 rows sent each of 450,000 users to 161 stripes of 660,000 items, and each item to 110 stripes."""
+    users, items = similarity.grid(450_000, 660_000, 16, spark.range(1))
+    assert users * items >= 4 and users <= 8 and items <= 8
+    assert similarity.grid(0, 0, None, spark.range(1)) == (1, 1)
+
+
+def test_pairs_keep_their_columns_when_scored(spark):
+    counts = spark.createDataFrame([(u, 10**12 + t, 1) for u in range(30) for t in range(u % 5, 20, 3)], "account_id bigint, content_id bigint, n bigint")
+    model = factors.fit_implicit(counts, 4)
+    pairs = spark.createDataFrame(
+        [(u, 10**12 + t, None if t % 2 else f"k{t}", [u, t]) for u in range(-2, 30) for t in range(0, 24)] + [(None, 3, "", None), (3, None, "", None)],
+        "account_id bigint, content_id bigint, kind string, both array<int>",
+    )
+    users = {r["account_id"]: r["vector"] for r in model.user_factors().collect()}
+    items = {r["content_id"]: r["vector"] for r in model.item_factors().collect()}
+    scored = factors.score_pairs(model, pairs)
+    assert scored.columns == [*pairs.columns, "score"]
+    want = {(u, 10**12 + t): sum(a * b for a, b in zip(users[u], items[10**12 + t])) for u in users for t in range(24) if 10**12 + t in items}
+    found = {(r["account_id"], r["content_id"]): r for r in scored.collect()}
+    assert found.keys() == want.keys() and all(found[p]["score"] == pytest.approx(want[p]) for p in want)
+    assert all(r["both"] == [u, t - 10**12] and r["kind"] == (None if t % 2 else f"k{t - 10**12}") for (u, t), r in found.items())
+    plan = scored._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join Inner" not in plan and "Join Left" not in plan  # each pair was shuffled for four joins
+
+
+def test_errors_of_folds(spark):
+    ratings = spark.createDataFrame([(u, t, 1.0) for u in range(25) for t in range(12)], "account_id bigint, content_id bigint, rating double")
+    rows = factors.cross_validate(ratings, rank=3).collect()
+    assert [r["fold"] for r in rows] == [0, 1] and sum(r["n"] for r in rows) == 300
+    assert all(0 <= r["mae"] <= r["rmse"] < 0.5 for r in rows)
