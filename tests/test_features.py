@@ -160,6 +160,24 @@ def test_lazy_slates_equal_full_scoring(seed):
     assert got == want
 
 
+def test_slates_of_few_bytes_are_grown_in_all_tasks(spark):
+    """Users are small rows and much work: joins that are merged into one task must not leave the work there."""
+    vectors = spark.createDataFrame([(c, [float(c % 7), c / 50]) for c in range(50)], "content_id bigint, vector array<double>")
+    past = spark.createDataFrame([(u, u % 50) for u in range(200)], "customer_id bigint, content_id bigint")
+    model = type("M", (), {"coefficients": type("W", (), {"toArray": staticmethod(lambda: np.arange(8.0))})})
+    got = slates.greedy_slates(past.select("customer_id"), past, vectors, past.where("false"), past, vectors, model, 3)
+    tasks = {r[0] for r in got.select(F.spark_partition_id()).collect()}
+    assert len(tasks) == int(spark.conf.get("spark.sql.shuffle.partitions")) and got.count() == 600
+
+
+def test_parts_of_many_users_give_the_same_slates():
+    rng = np.random.default_rng(5)
+    lazy = slates.LazySlates(np.arange(200), rng.normal(size=(200, 4)), rng.normal(size=16))
+    pasts = list(rng.normal(size=(9, 8)))
+    able = rng.random(200) < 0.7
+    assert [lazy.slate(p, able, 20, parts) for p, parts in zip(pasts, lazy.parts(pasts), strict=True)] == [lazy.slate(p, able, 20) for p in pasts]
+
+
 def test_every_title_is_encoded(spark):
     rng = np.random.default_rng(6)
     x, w = rng.normal(size=(30, 5)), rng.normal(size=(6, 3))
