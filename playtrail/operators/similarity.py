@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from playtrail.functions.columns import hash_hex, no_vector
 from playtrail.operators.ordering import top_k
 from playtrail.operators.sampling import cowatch_draws
-from playtrail.scratch import through_table
+from playtrail.scratch import apart, through_table
 
 # Rows of a stripe on a grid of meetings, and rows of one product within a meeting.
 STRIPE_ROWS = 4096
@@ -276,14 +276,35 @@ def knn(vectors: DataFrame, k: int = 50, probes: int | None = None) -> DataFrame
 def probes_for(vectors: DataFrame, exact: DataFrame, k: int = 50, recall: float = 0.9) -> tuple[int, int]:
     """The least power of two of probes that finds a share ``recall`` of the pairs of ``exact``, and how many pairs it finds.
 
-    No number of probes serves tables of all sizes, so it is doubled until the share is reached.
+    No number of probes serves tables of all sizes.  A search finds those exact pairs whose neighbour lies in a block that the query's block
+    looks into, as nothing there is nearer than in the whole table: pairs are counted by how many probes reach their blocks, and the
+    blocks, made once, are searched with the number that suffices.
     """
+    blocks = vector_blocks(vectors)
     wanted, probes = recall * exact.count(), 1
-    while True:
-        hits = exact.join(knn(vectors, k, probes), ["content_id", "neighbor_id"], "left_semi").count()
-        if hits >= wanted or probes >= MAX_BLOCKS:
-            return probes, hits
+    reached = {r["probes"]: r["pairs"] for r in _reached(blocks, exact).collect()}
+    while sum(n for p, n in reached.items() if p <= probes) < wanted and probes < MAX_BLOCKS:
         probes *= 2
+    return probes, exact.join(_searched(blocks, k, probes), ["content_id", "neighbor_id"], "left_semi").count()
+
+
+def _reached(blocks: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(probes, pairs): how many of the (content_id, neighbor_id) are first looked at with that power of two of probes."""
+    directory = blocks.select("block", "centre").toPandas().sort_values("block")
+    names = directory["block"].to_numpy()
+    centres = _matrix(directory["centre"]) if len(directory) else np.zeros((0, 1))
+    placed = through_table(blocks.select("block", F.explode("ids").alias("id")), "placed")
+    q, s = (placed.select(F.col("id").alias(c), F.col("block").alias(n)) for c, n in (("content_id", "q"), ("neighbor_id", "s")))
+    met = pairs.select("content_id", "neighbor_id").join(apart(q), "content_id").join(apart(s), "neighbor_id").groupBy("q", "s").agg(F.count(F.lit(1)).alias("n"))
+
+    def levels(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        gap = np.sqrt(((centres - centres[np.searchsorted(names, key[0])]) ** 2).sum(1))
+        before = np.searchsorted(np.sort(gap), gap[np.searchsorted(names, rows["s"])])  # blocks whose centres are nearer
+        probes = 2 ** np.ceil(np.log2(before + 1)).astype(np.int64)
+        return pd.DataFrame({"probes": probes, "pairs": rows["n"]}).groupby("probes", as_index=False).sum()
+
+    found = met.groupBy("q").applyInPandas(levels, "probes bigint, pairs bigint")
+    return found.groupBy("probes").agg(F.sum("pairs").alias("pairs"))
 
 
 def stripes_for(n: int, df: DataFrame) -> int:
@@ -317,25 +338,38 @@ def dealt(rows: DataFrame, key: str, own: str, stripes: int, other: str, others:
 
 
 def _probed(vectors: DataFrame, k: int, probes: int) -> DataFrame:
-    blocks = vector_blocks(vectors)
-    body = blocks.select("block", "ids", "payload")
-    pairs = (
-        _block_pairs(blocks, k, probes)
-        .join(body.select(F.col("block").alias("q"), F.col("ids").alias("q_ids"), F.col("payload").alias("q_data")), "q")
-        .join(body.select(F.col("block").alias("s"), F.col("ids").alias("s_ids"), F.col("payload").alias("s_data")), "s")
-    )
+    return _searched(vector_blocks(vectors), k, probes)
 
-    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for q_ids, q_data, s_ids, s_data in zip(batch["q_ids"], batch["q_data"], batch["s_ids"], batch["s_data"]):
-                q_ids, s_ids = np.asarray(q_ids), np.asarray(s_ids)
-                q, s = _unpack(q_data, len(q_ids)), _unpack(s_data, len(s_ids))
-                rows, near, dist = _nearest(q, s, s_ids, k)
-                yield pd.DataFrame({"content_id": q_ids[rows], "neighbor_id": near, "distance": dist})
 
-    found = pairs.select("q_ids", "q_data", "s_ids", "s_data").mapInPandas(
-        compare, "content_id bigint, neighbor_id bigint, distance double"
+def _searched(blocks: DataFrame, k: int, probes: int) -> DataFrame:
+    """The ``k`` nearest in the blocks looked into.
+
+    Stripes of blocks meet on a grid: a block is sent once per stripe that it looks into or is looked at from, however many blocks
+    of that stripe it meets, and ``k`` rows per query leave a meeting.
+    """
+    n, width = blocks.agg(F.sum(F.size("ids")), F.max(F.size("centre"))).first()
+    q_stripes, s_stripes = grid(n or 0, n or 0, width, blocks)
+    pairs = through_table(
+        _block_pairs(blocks, k, probes).select("q", "s", stripe_of("q", q_stripes).alias("u"), stripe_of("s", s_stripes).alias("i")), "block_pairs"
     )
+    body = [blocks.select(F.col("block").alias(c), F.col("ids").alias(f"{c}_ids"), F.col("payload").alias(f"{c}_data")) for c in ("q", "s")]
+    left = pairs.groupBy("q", "u", "i").agg(F.sort_array(F.collect_list("s")).alias("wanted")).join(apart(body[0]), "q")
+    right = pairs.select("s", F.col("u").alias("s_u"), F.col("i").alias("s_i")).distinct().join(apart(body[1]), "s")
+
+    def compare(asking: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+        out = [pd.DataFrame({"content_id": [], "neighbor_id": [], "distance": []}).astype({"content_id": "int64", "neighbor_id": "int64"})]
+        held = {s: (np.asarray(ids), _unpack(data, len(ids))) for s, ids, data in zip(asked["s"], asked["s_ids"], asked["s_data"])}
+        last, s_ids, s = None, None, None
+        for wanted, _, ids, data in sorted(zip(map(tuple, asking["wanted"]), asking["q"], asking["q_ids"], asking["q_data"])):
+            if last != wanted:
+                last = wanted
+                s_ids, s = (np.concatenate(c) for c in zip(*[held[b] for b in last], strict=True))
+            ids = np.asarray(ids)
+            rows, near, dist = _nearest(_unpack(data, len(ids)), s, s_ids, k)
+            out.append(pd.DataFrame({"content_id": ids[rows], "neighbor_id": near, "distance": dist}))
+        return pd.concat(out)
+
+    found = left.groupBy("u", "i").cogroup(right.groupBy("s_u", "s_i")).applyInPandas(compare, "content_id bigint, neighbor_id bigint, distance double")
     return top_k(found, ["content_id"], [F.asc("distance"), F.asc("neighbor_id")], k, name="rn")
 
 

@@ -212,3 +212,21 @@ def test_probes_reach_the_recall(spark):
     probes, found = similarity.probes_for(vectors, exact, 10)
     # Blocks are cut by sampled ranges, so another index of the same vectors finds a few pairs more or less.
     assert probes > 1 and found >= 0.9 * 40_000 and abs(hits(probes) - found) < 0.05 * 40_000
+
+
+def test_probes_are_chosen_without_a_search_for_each_number(spark, monkeypatch):
+    """The blocks are made and searched once, and the pairs counted by their blocks are those that searches find."""
+    rng = np.random.default_rng(9)
+    vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rng.normal(size=(5000, 8)))], "content_id bigint, vector array<double>").cache()
+    exact = similarity.knn(vectors, 10).cache()
+    blocks = similarity.vector_blocks(vectors)
+    made, searched, search = [], [], similarity._searched
+    monkeypatch.setattr(similarity, "vector_blocks", lambda v: (made.append(1), blocks)[1])
+    monkeypatch.setattr(similarity, "_searched", lambda b, k, p: (searched.append(p), search(b, k, p))[1])
+    probes, found = similarity.probes_for(vectors, exact, 10)
+    assert len(made) == 1 and searched == [probes] and probes > 1
+    reached = {r["probes"]: r["pairs"] for r in similarity._reached(blocks, exact).collect()}
+    for p in (1, 2, probes):
+        hits = exact.join(search(blocks, 10, p), ["content_id", "neighbor_id"], "left_semi").count()
+        assert hits == sum(n for least, n in reached.items() if least <= p)
+    assert found == hits
