@@ -17,8 +17,9 @@ from playtrail.shipping import ship
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-#: Rows of a batch handed to Python: texts are long, and two batches of each task are in memory on both sides.
-BATCH_ROWS = 2000
+#: Rows and bytes of a batch handed to Python: texts are long, and two batches of each task are in memory on both sides.
+#: Buffers of several megabytes also stay with the executor's allocator when they are freed.
+BATCH_ROWS, BATCH_BYTES = 2000, 1 << 20
 
 
 def prepare(spark: SparkSession) -> None:
@@ -27,6 +28,9 @@ def prepare(spark: SparkSession) -> None:
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
         spark.conf.set(key, str(BATCH_ROWS))
+    size = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(size, None) is None:
+        spark.conf.set(size, str(BATCH_BYTES))
 
 
 def word_count(text: Column) -> Column:

@@ -58,7 +58,8 @@ def links_batch(links: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(columns, names=["a", "b"])
 
 
-def _trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A spanning forest of a task's links."""
     forest = Forest()
     for b in batches:
         for x, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
@@ -69,10 +70,10 @@ def _trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield links_batch(forest.links())
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, spanned: bool = False) -> DataFrame:
     """(node, component): the smallest node reachable, for all nodes other than it.
 
-    ``links`` has bigint columns (a, b).  Each round hangs the larger neighbours of every node below its
+    ``links`` has bigint columns (a, b); ``spanned`` says that each task made a forest of them already.  Each round hangs the larger neighbours of every node below its
     smallest neighbour, then the smaller ones, until nothing changes; the number of rounds grows with the logarithm
     of the longest chain.  Rounds are written as tables, so that a lost executor costs no earlier round.
     """
@@ -92,7 +93,9 @@ def components(links: DataFrame) -> DataFrame:
         return below.union(least.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
 
     down = F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")
-    first = links.where("a <> b").mapInArrow(_trees, "a bigint, b bigint")
+    first = links.where("a <> b")
+    if not spanned:
+        first = first.mapInArrow(trees, "a bigint, b bigint")
     edges, path, state = write(first.select(*down).distinct())
     while state[0]:
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))

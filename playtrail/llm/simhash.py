@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from playtrail.llm.common import fresh, giving_back, parts_of
-from playtrail.llm.components import block_links, components, links_batch
+from playtrail.llm.components import block_links, components, links_batch, trees
 from playtrail.scratch import through_table
 
 SHINGLE, SEED, BITS = 4, 42, 4
@@ -101,7 +101,7 @@ def _cells(fps: np.ndarray, bits: int, segment_bits: int, parts: int) -> tuple[n
 def fingerprint_links(fps: DataFrame, bits: int = BITS, segment_bits: int = SEGMENT_BITS, parts: int = PARTS, block: int = BLOCK) -> DataFrame:
     """Pairs (a, b) of the distinct numbers ``fp`` that connect all those within ``bits`` bits, and no others.
 
-    They span what is linked within a cell: a pair stands for a chain of links, not always for one.
+    They span what is linked within a task: a pair stands for a chain of links, not always for one.
     """
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -159,7 +159,8 @@ def fingerprint_links(fps: DataFrame, bits: int = BITS, segment_bits: int = SEGM
         .repartition(n, "cell", "pair")
         .sortWithinPartitions("cell", "pair")
     )
-    return meetings.mapInArrow(meet, "a bigint, b bigint")
+    # Both in one call: a second one in the same task would be a second worker beside the first.
+    return meetings.mapInArrow(lambda batches: trees(meet(batches)), "a bigint, b bigint")
 
 
 def simhash_components(docs: DataFrame, bits: int = BITS, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
@@ -171,7 +172,7 @@ def simhash_components(docs: DataFrame, bits: int = BITS, shingle: int = SHINGLE
     """
     fps = through_table(with_fingerprints(docs, shingle, seed), "fingerprints")
     classes = fps.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    roots = components(fingerprint_links(classes, bits))
+    roots = components(fingerprint_links(classes, bits), spanned=True)
     placed = classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn(
         "component_fp", F.coalesce("component", "fp")
     )

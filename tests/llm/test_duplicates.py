@@ -2,11 +2,13 @@
 
 import corpus_pipeline
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
 from playtrail.llm import components, embedding_dedup, queries, simhash
+from playtrail.llm.common import BATCH_BYTES, prepare
 from tests.llm.helpers import DOCS, SF, odd_documents, roots, words
 
 
@@ -170,3 +172,37 @@ def test_one_of_each_of_odd_rows(spark):
     ids = [r["doc_id"] for r in kept.collect()]
     assert sorted(i for i in ids if i is not None) == [1, 3, 5, 7, 8, 9, 10, 11, 12] and ids.count(None) == 1
     assert simhash.one_of_each(docs.limit(0)).count() == 0
+
+
+def test_one_worker_for_each_task(spark, monkeypatch):
+    """Two Python steps of one task have a worker each; a table's plan has at most one between two exchanges."""
+    plans = []
+
+    def seen(links, spanned=False, run=simhash.components):
+        plans.append(links)
+        assert spanned
+        return run(links, spanned)
+
+    monkeypatch.setattr(simhash, "components", seen)
+    docs = spark.createDataFrame([(i, f"one two three four {i % 3}") for i in range(9)], "doc_id bigint, text string")
+    assert len({r["component_id"] for r in simhash.simhash_components(docs).collect()}) <= 3
+    (links,) = plans
+    top = links.where("a <> b")._jdf.queryExecution().executedPlan().toString().split("Exchange")[0]
+    assert top.count("MapInArrow") == 1
+
+
+def test_batches_are_bounded_by_bytes(spark):
+    """Texts of 300 KB come a few at a time, and one longer than a batch comes whole."""
+    prepare(spark)
+    sizes = [300_000] * 40 + [3_000_000]
+    docs = spark.range(len(sizes), numPartitions=1).select(F.expr(f"repeat('x', int(array({','.join(map(str, sizes))})[int(id)]))").alias("text"))
+
+    def measure(batches):
+        for b in batches:
+            n, total = len(b), sum(len(t.as_py()) for t in b.column(0))
+            yield pa.RecordBatch.from_arrays([pa.array([n], pa.int32()), pa.array([total], pa.int64())], names=["n", "bytes"])
+
+    found = docs.mapInArrow(measure, "n int, bytes bigint").collect()
+    assert sum(r["n"] for r in found) == len(sizes) and sum(r["bytes"] for r in found) == sum(sizes)
+    assert max(r["bytes"] for r in found if r["n"] > 1) <= BATCH_BYTES + max(sizes)
+    assert max(r["n"] for r in found) <= 5
