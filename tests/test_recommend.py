@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from playtrail.operators import evaluate, factors, recommend, sampling, shaping, similarity
 from playtrail.operators.ordering import dense_index
+from playtrail.plans import model_queries
 
 
 def slates(spark, data):
@@ -285,3 +286,18 @@ def test_errors_of_folds(spark):
     rows = factors.cross_validate(ratings, rank=3).collect()
     assert [r["fold"] for r in rows] == [0, 1] and sum(r["n"] for r in rows) == 300
     assert all(0 <= r["mae"] <= r["rmse"] < 0.5 for r in rows)
+
+
+def test_factors_go_to_few_blocks(spark):
+    """Every factor is sent to all blocks of the other side in each step: ten blocks sent two thirds more than six."""
+    ratings = spark.createDataFrame([(u, t, 1.0) for u in range(40) for t in range(30)], "account_id bigint, content_id bigint, rating double")
+    fitted = factors.fit_nmf(ratings, rank=3, iters=2)
+    assert fitted.model.userFactors.rdd.getNumPartitions() <= 6 and fitted.model.itemFactors.rdd.getNumPartitions() <= 6
+    assert fitted.user_factors().count() == 40 and fitted.item_factors().count() == 30
+
+
+def test_ratings_join_the_plays_once(spark):
+    """The head and its ratings come from one written table; each joined the play log for itself."""
+    rated = model_queries.ratings(spark, "/root/testdata/sf0.001")
+    plan = rated._jdf.queryExecution().optimizedPlan().toString()
+    assert "l_orderkey" not in plan and rated.count() > 0
