@@ -202,6 +202,27 @@ def test_catalogue_auc(spark, monkeypatch, stripe, positives):
     assert not got
 
 
+def test_auc_joins_no_vectors(spark):
+    """Each positive was joined with both vectors, which shuffled and sorted a wide row for it twice."""
+    vectors = [spark.createDataFrame([(i, [float(i), 1.0]) for i in range(6)], f"{c} bigint, vector array<double>") for c in ("account_id", "content_id")]
+    pairs = spark.createDataFrame([(u, i) for u in range(6) for i in range(u % 4 + 1)] + [(77, 1), (1, 77)], "account_id bigint, content_id bigint")
+    scored = similarity._pair_scores(*vectors, pairs, "account_id")
+    assert "Join" not in scored._jdf.queryExecution().optimizedPlan().toString()
+    assert {(r[0], r[1]): r[2] for r in scored.collect()} == {(u, i): u * i + 1.0 for u in range(6) for i in range(u % 4 + 1)}
+    assert {r[0]: r[2] for r in similarity.catalogue_auc(*vectors, pairs).collect()}.keys() == set(range(6))
+
+
+@pytest.mark.parametrize("scale", [1e-3, 1.0, 1e5])
+def test_products_below_points(scale):
+    """Millionths in four bytes, or as doubles where they don't fit."""
+    rng = np.random.default_rng(5)
+    products = np.round(rng.normal(size=(7, 300)), 2) * scale
+    points = [np.round(rng.choice(row, 9), 6) for row in products]
+    rounded = np.round(products, 6)
+    want = [sum((row < p).sum() + (row == p).sum() / 2 for p in at) for row, at in zip(rounded, points)]
+    assert similarity._below(products.copy(), points).tolist() == want
+
+
 def test_in_period_keeps_or_drops_missing_times(spark):
     from playtrail.functions.columns import in_period
 
