@@ -1,33 +1,7 @@
-"""Files that tasks write and read in the shared folder.
-
-Tasks write under a name of their own attempt and report it in their output rows.  The table of these rows is
-committed by Spark, so that files of failed or repeated attempts are simply not listed.
-"""
+"""Files that tasks write and read in the shared folder, as :mod:`playtrail.task_files` has them."""
 
 from __future__ import annotations
 
-import re
-import uuid
-
-
-def open_folder(folder: str):
-    """The file system of ``folder`` and the folder's path on it."""
-    from pyarrow import fs
-
-    folder = re.sub(r"^file:/+", "/", folder)
-    if folder.startswith("/"):
-        return fs.LocalFileSystem(), folder
-    return fs.FileSystem.from_uri(folder)
-
-
-def new_file(folder: str, suffix: str):
-    """A new file's full name as reported, and a stream to write it."""
-    system, path = open_folder(folder)
-    system.create_dir(path, recursive=True)
-    name = f"{uuid.uuid4().hex}{suffix}"
-    return f"{folder.rstrip('/')}/{name}", system.open_output_stream(f"{path}/{name}", compression=None)
-
+from playtrail.task_files import new_file, open_file, open_folder
 
-def open_file(name: str):
-    system, path = open_folder(name)
-    return system.open_input_file(path)
+__all__ = ["new_file", "open_file", "open_folder"]
