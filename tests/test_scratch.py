@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from playtrail import scratch
-from playtrail.operators import nonnegative
+from playtrail.operators import factors, nonnegative
 
 
 def shuffles(spark) -> set[str]:
@@ -44,3 +44,13 @@ def test_epochs_leave_no_shuffle_files(spark, monkeypatch):
     ratings = spark.createDataFrame([(u, t, 1.0) for u in range(20) for t in range(9)], "account_id bigint, content_id bigint, rating double")
     nonnegative.fit_nonnegative(ratings, 2, 6)
     assert settles(spark, before + 40)  # one epoch's and the last sums; six epochs leave some hundred
+
+
+def test_the_solver_leaves_no_steps_behind(spark, monkeypatch):
+    """Factors were sent to the other side in every step, and the files of five steps lay there till the fit was over."""
+    asked, als = [], factors.ALS
+    monkeypatch.setattr(factors, "ALS", lambda **params: asked.append(params["checkpointInterval"]) or als(**params))
+    rows = spark.createDataFrame([(u, t, 1) for u in range(20) for t in range(u % 4, 12, 2)], "account_id bigint, content_id bigint, n bigint")
+    assert factors.fit_implicit(rows, 3).item_factors().count() == 12
+    assert factors.fit_nmf(rows.withColumn("rating", F.lit(1.0)), 3).item_factors().count() == 12
+    assert asked == [1, 1]
