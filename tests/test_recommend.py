@@ -212,6 +212,16 @@ def test_auc_joins_no_vectors(spark):
     assert {r[0]: r[2] for r in similarity.catalogue_auc(*vectors, pairs).collect()}.keys() == set(range(6))
 
 
+def test_meetings_are_no_pandas_objects(spark, monkeypatch):
+    """A pair that a user has seen was a row of a pandas frame with an empty list as an object; nulls are no pairs."""
+    vectors = [spark.createDataFrame([(2**60 + i, [float(i), 1.0]) for i in range(6)], f"{c} bigint, vector array<double>") for c in ("account_id", "content_id")]
+    seen = spark.createDataFrame([(2**60 + u, 2**60 + 5) for u in range(6)] + [(None, 2**60), (2**60, None)], "account_id bigint, content_id bigint")
+    monkeypatch.setattr(similarity, "_matrix", None)
+    found = similarity.best_products(*vectors, seen, 1).collect()
+    assert {(r["account_id"] - 2**60, r["content_id"] - 2**60, r["score"]) for r in found} == {(0, 0, 1.0), *((u, 4, 4.0 * u + 1) for u in range(1, 6))}
+    assert similarity.catalogue_auc(*vectors, seen).count() == 6
+
+
 @pytest.mark.parametrize("scale", [1e-3, 1.0, 1e5])
 def test_products_below_points(scale):
     """Millionths in four bytes, or as doubles where they don't fit."""
